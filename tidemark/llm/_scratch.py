@@ -1,52 +1,5 @@
-"""Shared scratch tables: they cut lineage and survive lost executors.
+"""Shared scratch tables and Arrow maps, from the engine's runtime."""
 
-All intermediate tables go under the folder named by ``spark.checkpoint.dir``,
-which every executor of a cluster can see.  Only a local-mode session without
-that setting (tests, notebooks) gets a folder of its own.
-"""
+from tidemark.runtime import fresh_path, keep, map_arrow, partitions, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-from tidemark.runtime import ship
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; set here only where it is unset."""
-    found = spark.conf.get(SETTING, None)
-    if not found:
-        master = spark.conf.get("spark.master", "local")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError(f"{SETTING} is unset; name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(SETTING, found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on every executor."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+__all__ = ["fresh_path", "keep", "map_arrow", "partitions", "shared_dir"]

@@ -8,6 +8,9 @@ of the payload so far, so neither holds more than a chunk of a record.
 Of records with equal payloads the one with the smallest page id is stored as
 response; the others are revisit records that refer to it.
 
+Records are gzip members of their own, as archives are commonly kept, so any record
+can be read from its offset alone.
+
 Each writer task writes one archive under a name of its own attempt in the
 shared folder, and reports it in a manifest written by Spark: what a failed or
 repeated attempt left is not in the manifest and never read.
@@ -16,9 +19,11 @@ repeated attempt left is not in the manifest and never read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -105,17 +110,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, **options) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name, out, records = f"part-{uuid.uuid4().hex}.warc", None, 0
+        name, out, records = f"part-{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
                     out = store.open_output_stream(f"{base}/{name}")
                 if row["chunk_no"] == 0:
-                    out.write(_heading(row["page_id"], row["url"], row["n_bytes"], row["sha1"], row["refers_to"]))
+                    member = zlib.compressobj(1, wbits=31)
+                    out.write(member.compress(_heading(row["page_id"], row["url"], row["n_bytes"], row["sha1"], row["refers_to"])))
                     records += 1
-                out.write(row["data"])
+                out.write(member.compress(row["data"]))
                 if row["chunk_no"] == row["n_chunks"] - 1:
-                    out.write(b"\r\n\r\n")
+                    out.write(member.compress(b"\r\n\r\n") + member.flush())
         if out is not None:
             size = out.tell()
             out.close()
@@ -209,7 +215,7 @@ def read_archives(manifest: DataFrame, *, data: bool = True, chunk: int = CHUNK)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, at = fs.FileSystem.from_uri(path)
-                with io.BufferedReader(store.open_input_stream(at), 1 << 20) as stream:
+                with store.open_input_stream(at) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) as stream:
                     rows: list[dict] = []
                     size = 0
                     for row in read_chunks(stream, chunk):

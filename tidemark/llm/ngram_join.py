@@ -5,18 +5,20 @@ Jaccard similarity at least t share a token in their prefixes - the first
 |x| - ceil(t |x|) + 1 tokens - under *every* global token order, so candidates
 are intersected over several orders before any pair is verified:
 
-* order A, the indexed one: a fixed hash-defined universe of tokens comes
-  first, rarest first by exact document frequency, then all others by hash.
-  Tokens of frequency one cannot meet anything, so they take up their places in
-  the prefix but are never shuffled to the index.  Common passages stand last
-  and leave the prefixes.
-* orders B and C: two independent hash permutations, tested on a pair's own
+* order A: a fixed hash-defined universe of tokens comes first, rarest first by
+  exact document frequency, then all others by hash.  Tokens of frequency one
+  cannot meet anything, so they take up their places in the prefix but are not
+  shuffled to lists.  A document that meets no other in these prefixes is done.
+* order B, the indexed one: rarest first over *all* tokens of the documents that
+  order A left, by their frequency among those, with a size and position filter.
+  Common passages stand last and leave the prefixes.
+* orders C and D: two independent hash permutations, tested on a pair's own
   prefixes before its full sets are compared.
 
 Skew.  Documents with equal sets are collapsed first.  Frequencies are partial
-sums.  A posting list never becomes pairs wholesale: its most central member (the
-one with the fewest tokens of its own) is verified against the other members, and
-links contract the list to components.  Only members of *different* components
+sums.  A posting list never becomes pairs wholesale: three centres (the member with the
+fewest tokens of its own, and two drawn by hash) are verified against the other
+members, and links contract the list to components.  Only members of *different* components
 are then paired, which keeps the join exact without the square of a group of
 near copies.
 
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _kernels as K
@@ -145,12 +147,12 @@ def _permuted_prefix(tokens: np.ndarray, factor: int, length: int) -> np.ndarray
     return np.partition(ranks, length - 1)[:length] if length < len(ranks) else ranks
 
 
-#: Orders B and C, as odd multipliers before the finaliser.
+#: Orders C and D, as odd multipliers before the finaliser.
 ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Orders B and C, then the exact test on two sorted sets."""
+    """Orders C and D, then the exact test on two sorted sets."""
     a, b = len(x), len(y)
     if den * min(a, b) < num * max(a, b):
         return False
@@ -177,10 +179,48 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(found, run, "a long, b long")
 
 
+def _index_b(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """h, node, n, place, alone, spread: the prefixes under order B, without tokens
+    of frequency one.  ``place`` counts those too, ``alone`` is how many a node has;
+    ``spread`` is a hash of the node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            sizes = [len(x) for x in lists]
+            for a in range(0, len(lists), 256):
+                part, n = np.concatenate(lists[a : a + 256]), sizes[a : a + 256]
+                nodes = np.repeat(np.asarray(batch.column(0))[a : a + 256], n)
+                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(np.repeat(n, n), pa.int32()), pa.array(_signed(part), pa.int64())], names=["node", "n", "h"])
+
+    tokens = map_arrow(sets.select("node", "tokens"), run, "node long, n int, h long")
+    common = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df >= 2")
+    by_node = Window.partitionBy("node")
+    return (
+        tokens.join(common, "h")
+        .withColumn("alone", F.col("n") - F.count("*").over(by_node))
+        .withColumn("place", F.col("alone") + F.row_number().over(by_node.orderBy("df", "h")))
+        .where(F.col("place") <= _prefix(F.col("n").cast("long"), num, den))
+        .select("h", "node", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"), "alone", F.xxhash64("node").alias("spread"))
+    )
+
+
 def _prefix(n: Column, num: int, den: int) -> Column:
     return n - F.ceil(F.lit(num) * n / F.lit(den)).cast("long") + 1
 
 
+def _can_link(n: str, m: str, i: str, j: str, num: int, den: int) -> Column:
+    """Size and position filter of a token at places i and j of two prefixes.
+
+    If it is the first token that both have, they share at most
+    1 + min(n - i, m - j); a pair that links passes at its first shared token.
+    Places are lower bounds, which keeps the filter safe.
+    """
+    sizes = F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)
+    most = 1 + F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return sizes & (F.lit(num + den) * most >= F.lit(num) * (F.col(n) + F.col(m)))
+
+
 def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of the documents that link at Jaccard >= num / den on k-word shingles.
 
@@ -220,44 +260,48 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 1
         .withColumn("alone", F.col("inside") - F.sum((~F.col("outside")).cast("long")).over(by_node))
         .where(F.col("outside") | (F.col("rank") + F.col("alone") <= _prefix(F.col("n"), num, den)))
     )
-    index = keep(ranked.select("h", "node", "n", (F.col("alone") * 1000 / F.greatest("inside", F.lit(1))).cast("long").alias("apart")), "ngram-index")
-    shared_lists = index.groupBy("h").agg(F.count("*").alias("members"), F.min(F.struct("apart", "node", "n")).alias("head")).where("members >= 2")
+    lists_a = ranked.select("h", "node")
+    lists_a = keep(lists_a, "ngram-lists")
+    met = lists_a.groupBy("h").agg(F.count("*").alias("members")).where("members >= 2").select("h")
+    active = lists_a.join(met, "h", "left_semi").select("node").distinct()
+    keys = keep(active.join(meta, "node").select("node", "key", "s1", "s2"), "ngram-active")
+    wanted = keys.select("key").distinct()
+    wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_KEYS else wanted
+    sets = _full_sets(rows.join(wanted, "key", "left_semi").select("text"), k).dropDuplicates(["s1", "s2"])
+    sets = keep(sets.join(keys.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "tokens"), "ngram-sets")
 
-    # Centre of each list against its other members.
-    near = (F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m"))
+    # Order B: frequencies among the nodes that order A left, over all their tokens.
+    index = keep(_index_b(sets, num, den), "ngram-index")
+    sizes_b = index.groupBy("h").agg(F.count("*").alias("members"), F.min(F.struct("alone", "spread", "node", "n", "place")).alias("c0"), F.max(F.struct("spread", "node", "n", "place")).alias("c1"), F.min(F.struct("spread", "node", "n", "place")).alias("c2")).where("members >= 2")
+    centres = sizes_b.select("h", F.explode(F.array(*(F.struct(F.col(f"{c}.node").alias("centre"), F.col(f"{c}.n").alias("m"), F.col(f"{c}.place").alias("at")) for c in ("c0", "c1", "c2")))).alias("c")).select("h", "c.*").distinct()
     stars = (
-        index.join(shared_lists.select("h", F.col("head.node").alias("centre"), F.col("head.n").alias("m")), "h")
-        .where((F.col("node") != F.col("centre")) & near)
+        index.join(centres, "h")
+        .where((F.col("node") != F.col("centre")) & _can_link("n", "m", "place", "at", num, den))
         .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         .distinct()
     )
     stars = keep(stars, "ngram-stars")
-    active = index.join(shared_lists.select("h"), "h", "left_semi").select("node").distinct()
-    keys = keep(active.join(meta, "node").select("node", "key", "s1", "s2"), "ngram-active")
-    wanted = keys.select("key").distinct()
-    wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_KEYS else wanted
-    sets = _full_sets(rows.join(wanted, "key", "left_semi").select("text"), k).dropDuplicates(["s1", "s2"])
-    sets = keep(sets.join(keys.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "tokens"), "ngram-sets")
     links = keep(_verify(stars, sets, num, den), "ngram-links")
     parts = connected_components(links, "a", "b")
 
     # Members of one list that are still in different components.
     placed = (
-        index.join(shared_lists.select("h"), "h", "left_semi")
+        index.join(sizes_b.select("h"), "h", "left_semi")
         .join(parts, "node", "left")
-        .select("h", "node", "n", F.coalesce("component", "node").alias("component"))
+        .select("h", "node", "n", "place", F.coalesce("component", "node").alias("component"))
     )
     placed = keep(placed, "ngram-placed")
     open_lists = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
     rest = placed.join(open_lists, "h", "left_semi")
-    left, right = (rest.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    left, right = (rest.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     crossing = (
         left.join(right, "h")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
+        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _can_link("na", "nb", "pa", "pb", num, den))
         .select("a", "b")
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
+    crossing = keep(crossing, "ngram-crossing")
     more = keep(_verify(crossing, sets, num, den), "ngram-more")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more), "a", "b")
@@ -281,7 +325,7 @@ def _attach(base: DataFrame, named: DataFrame) -> DataFrame:
     )
 
 
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents whose id is the smallest of its component.
 
     Rows with a null id stay (nothing can name them).  Ids are taken to be

@@ -8,9 +8,10 @@ quantiles and truncated totals for every context limit without the documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._scratch import keep
 from tidemark.llm.bpe import count_tokens
 
 #: Lengths in one bucket of the two-level sums.
@@ -20,7 +21,8 @@ BUCKET = 512
 def length_histogram(docs: DataFrame, ranks_path: str, *, text_col: str = "text") -> DataFrame:
     """(length, n_docs): exact counts over all rows; a null text has length 0,
     rows that repeat count each, an empty table gives no rows."""
-    return count_tokens(docs, ranks_path, text_col=text_col).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    counts = count_tokens(docs, ranks_path, text_col=text_col).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return keep(counts, "token-lengths")  # small, and read more than once
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
@@ -67,7 +69,3 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     return sums.agg(*(F.min(F.when(F.col("docs_below") + F.col("n_docs") >= F.lit(q) * total, F.col("length"))).alias(f"q{i}") for i, q in enumerate(shares))).select(
         F.inline(F.array(*(F.struct(F.lit(float(q)).alias("share"), F.col(f"q{i}").alias("length")) for i, q in enumerate(shares))))
     ).where("length is not null")
-
-
-def share(column: str, total: Column) -> Column:
-    return F.col(column) / total

@@ -5,8 +5,9 @@ last followed the same two ids, the one that last followed the same id, and the
 ids seen lately, held in a small cache.  Which of them is right is a four-way
 symbol (the last: none); its probabilities mix adaptive counts kept under three
 contexts - the confidence of the order-2 prediction, that of the order-1
-prediction, and the two symbols before - and drive a carryless range coder.  A cache
-hit adds the slot, a miss the id itself, at flat probabilities.
+prediction, and the two symbols before - and drive a carryless range coder of 64
+bits that moves 16 bits at once.  A cache hit adds the slot, a miss the id itself,
+at flat probabilities.
 
 Ids are cut into blocks of ``BLOCK``; every block starts from reset models and has a
 checksum, so blocks decode alone, and all blocks of a batch run in step as lanes
@@ -44,15 +45,23 @@ from tidemark.llm._scratch import fresh_path, keep, map_arrow
 from tidemark.llm.bpe import PieceIds, ragged, text_runs
 
 MAGIC = b"TMID1\0"
+VERSION = 2
 HEADER, ENTRY, TOTALS = struct.Struct("<6sBB"), struct.Struct("<BIII"), struct.Struct("<BQQ")
 END_CHUNK, DOCUMENTS, IDS = 0, 1, 2
-BLOCK = 8192
-#: Blocks coded in step.
-LANES = 1024
-_BITS2, _BITS1, _CACHE = 12, 11, 256
-_TOP, _BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
-_MASK = np.uint64(0xFFFFFFFF)
-_STEP, _LIMIT = 24, 4000
+BLOCK = 2048
+#: Blocks coded in step; numpy's cost for a call is shared by so many ids.
+LANES = 4096
+#: Bits of the tables of predictions (order 2 and order 1) and of the cache.
+_TABLE, _CACHE = 11, 8
+#: Four 16-bit counts lie in a word: a count grows by ``_STEP``, and a word with a
+#: count of 4096 is halved, so the sum of three words' counts stays below 65536.
+_STEP = np.uint64(24)
+_ONES, _OVER, _HALF = np.uint64(0x0001000100010001), np.uint64(0x1000100010001000), np.uint64(0x7FFF7FFF7FFF7FFF)
+_FIELD, _SIXTEEN = np.uint64(0xFFFF), np.uint64(16)
+_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+#: Bits that follow a kind: none for predictions, a cache slot, an id (its upper half, where ids are wide).
+_AFTER = np.array([0, 0, _CACHE, 16], np.uint64)
+_SECOND_HALF = np.array([0, 0, 0, 16], np.uint64)
 
 
 class Corrupt(ValueError):
@@ -60,122 +69,139 @@ class Corrupt(ValueError):
 
 
 class _Models:
-    """The state of all lanes: predictions, confidences and mixed counts."""
-
-    def __init__(self, lanes: int) -> None:
-        self.every = np.arange(lanes)
-        self.second = np.full((lanes, 1 << _BITS2), -1, np.int32)
-        self.first = np.full((lanes, 1 << _BITS1), -1, np.int32)
-        self.trust2 = np.zeros((lanes, 1 << _BITS2), np.uint8)
-        self.trust1 = np.zeros((lanes, 1 << _BITS1), np.uint8)
-        self.cache = np.full((lanes, _CACHE), -1, np.int32)
-        self.counts = np.ones((3, lanes, 16, 4), np.int32)
-        self.before = np.zeros(lanes, np.int64)
-        self.earlier = np.zeros(lanes, np.int64)
+    """The state of all lanes: predictions with their confidence (the low four
+    bits of an entry), the cache, and the counts under three contexts."""
+
+    def __init__(self, lanes: int, wide: bool) -> None:
+        entry, each = np.int64 if wide else np.int32, np.arange(lanes)
+        self.table, self.slots, self.rows = each << _TABLE, each << _CACHE, each << 4
+        self.second, self.first = np.full(lanes << _TABLE, -16, entry), np.full(lanes << _TABLE, -16, entry)
+        self.cache = np.full(lanes << _CACHE, -1, entry)
+        self.counts = np.full((3, lanes << 4), _ONES, np.uint64)
+        self.before, self.earlier = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.kinds = np.zeros(lanes, np.int64)
 
     def look(self) -> None:
-        """Predictions and frequencies for the next id of every lane."""
-        self.at1 = (self.before * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _BITS1)
-        self.at2 = ((self.before * 0x85EBCA6B + self.earlier * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - _BITS2)
-        self.guess2, self.guess1 = self.second[self.every, self.at2], self.first[self.every, self.at1]
-        self.sure2, self.sure1 = self.trust2[self.every, self.at2], self.trust1[self.every, self.at1]
-        self.contexts = (np.minimum(self.sure2, 15), np.minimum(self.sure1, 15), self.kinds)
-        self.frequency = sum(self.counts[i, self.every, c] for i, c in enumerate(self.contexts))
-        self.cumulative = np.cumsum(self.frequency, axis=1)
+        """Predictions and mixed counts for the next id of every lane."""
+        shift = np.uint32(32 - _TABLE)
+        self.at1 = self.table + (self.before * np.uint32(0x9E3779B1) >> shift)
+        self.at2 = self.table + (self.before * np.uint32(0x85EBCA6B) + self.earlier * np.uint32(0xC2B2AE35) >> shift)
+        entry2, entry1 = self.second.take(self.at2), self.first.take(self.at1)
+        self.guess2, self.guess1 = entry2 >> 4, entry1 >> 4
+        self.sure2, self.sure1 = entry2 & 15, entry1 & 15
+        self.contexts = (self.rows + self.sure2, self.rows + self.sure1, self.rows + self.kinds)
+        self.held = [c.take(at) for c, at in zip(self.counts, self.contexts)]
+        self.mixed = self.held[0] + self.held[1] + self.held[2]
+        # One multiplication: every field becomes the sum up to itself.
+        self.sums = self.mixed * _ONES
+        self.total = self.sums >> np.uint64(48)
+
+    def share(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's kind."""
+        shift = kind.astype(np.uint64) << np.uint64(4)
+        return (self.sums << _SIXTEEN) >> shift & _FIELD, self.mixed >> shift & _FIELD
 
     def kind_of(self, ids: np.ndarray) -> np.ndarray:
         """Symbol of each lane's id: 0 order 2, 1 order 1, 2 cache, 3 none."""
-        cached = self.cache[self.every, ids & (_CACHE - 1)] == ids
-        return np.where(self.guess2 == ids, 0, np.where(self.guess1 == ids, 1, np.where(cached, 2, 3)))
+        cached = self.cache.take(self.slots + (ids & (1 << _CACHE) - 1)) == ids
+        return np.where(self.guess2 == ids, 0, np.where(self.guess1 == ids, 1, 3 - cached))
+
+    def kind_at(self, value: np.ndarray) -> np.ndarray:
+        """The kind whose share holds a value."""
+        s = self.sums
+        return (value >= (s & _FIELD)).astype(np.int64) + (value >= (s >> _SIXTEEN & _FIELD)) + (value >= (s >> np.uint64(32) & _FIELD))
 
     def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        e = self.every
-        for i, c in enumerate(self.contexts):
-            counts = self.counts[i]
-            counts[e, c, kind] += _STEP
-            big = np.flatnonzero(counts[e, c, kind] > _LIMIT)
-            if len(big):
-                counts[big, c[big]] = (counts[big, c[big]] >> 1) | 1
-        self.second[e, self.at2], self.first[e, self.at1] = ids, ids
-        self.trust2[e, self.at2] = np.where(self.guess2 == ids, np.minimum(self.sure2 + 1, 15), 0)
-        self.trust1[e, self.at1] = np.where(self.guess1 == ids, np.minimum(self.sure1 + 1, 15), 0)
-        self.cache[e, ids & (_CACHE - 1)] = ids
-        self.earlier, self.before = self.before, ids.astype(np.int64)
+        step = _STEP << (kind.astype(np.uint64) << np.uint64(4))
+        for counts, at, held in zip(self.counts, self.contexts, self.held):
+            held += step
+            over = np.flatnonzero(held & _OVER)
+            if len(over):
+                held[over] = held[over] >> np.uint64(1) & _HALF | _ONES
+            counts[at] = held
+        entry = ids << 4
+        self.second[self.at2] = entry | np.minimum(self.sure2 + 1, 15) * (self.guess2 == ids)
+        self.first[self.at1] = entry | np.minimum(self.sure1 + 1, 15) * (self.guess1 == ids)
+        self.cache[self.slots + (ids & (1 << _CACHE) - 1)] = ids
+        self.earlier, self.before = self.before, ids.astype(np.uint32)
         self.kinds = (self.kinds << 2 | kind) & 15
 
 
 class _Range:
-    """Carryless range coders of all lanes; ``low`` and ``width`` stay below 2**32."""
+    """Carryless range coders of all lanes, 64 bits wide, moving 16 bits at once.
+
+    After :meth:`settled` a width is 2**32 or more: enough for a kind (totals are
+    below 2**16) and 16 bits after it.
+    """
 
     def __init__(self, lanes: int) -> None:
-        self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-
-    def narrow(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        unit = self.width[lanes] // np.uint64(total) if isinstance(total, int) else self.width[lanes] // total.astype(np.uint64)
-        self.low[lanes] = (self.low[lanes] + start.astype(np.uint64) * unit) & _MASK
-        self.width[lanes] = unit * size.astype(np.uint64)
-
-    def settled(self, lanes: np.ndarray) -> np.ndarray:
-        """Lanes whose top byte can go, with the width cut where it underflows."""
-        low, width = self.low[lanes], self.width[lanes]
-        same = (low ^ ((low + width) & _MASK)) < _TOP
-        small = ~same & (width < _BOTTOM)
-        if small.any():
-            at = lanes[small]
-            self.width[at] = (np.uint64(1 << 32) - self.low[at]) & (_BOTTOM - np.uint64(1))
-        return lanes[same | small]
+        self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+
+    def narrow(self, unit: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> None:
+        self.low += start * unit
+        self.width = unit * size if isinstance(size, np.ndarray) else unit
+
+    def settled(self) -> np.ndarray:
+        """Lanes whose top 16 bits can go, with the width cut where it underflows."""
+        same = (self.low ^ (self.low + self.width)) < _TOP
+        go = np.flatnonzero(same | (self.width < _BOTTOM))
+        cut = go[~same[go]]
+        if len(cut):
+            self.width[cut] = (_BOTTOM - (self.low[cut] & (_BOTTOM - np.uint64(1)))) & (_BOTTOM - np.uint64(1))
+        return go
 
     def shift(self, lanes: np.ndarray) -> np.ndarray:
-        """Drop the top byte of the given lanes; the bytes."""
-        out = (self.low[lanes] >> np.uint64(24)).astype(np.uint8)
-        self.low[lanes] = (self.low[lanes] << np.uint64(8)) & _MASK
-        self.width[lanes] = (self.width[lanes] << np.uint64(8)) & _MASK
-        return out
+        """Drop the top 16 bits of the given lanes; those bits."""
+        low = self.low[lanes]
+        self.low[lanes], self.width[lanes] = low << _SIXTEEN, self.width[lanes] << _SIXTEEN
+        return (low >> np.uint64(48)).astype(np.uint16)
 
 
 class _Writer(_Range):
     def __init__(self, lanes: int, room: int) -> None:
         super().__init__(lanes)
-        self.out, self.used = np.zeros((lanes, room), np.uint8), np.zeros(lanes, np.int64)
+        self.out, self.used = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        self.narrow(lanes, start, size, total)
-        while len(lanes := self.settled(lanes)):
-            self.out[lanes, self.used[lanes]] = self.shift(lanes)
-            self.used[lanes] += 1
+    def settle(self) -> None:
+        while len(lanes := self.settled()):
+            at = self.used[lanes]
+            self.out[lanes, at] = self.shift(lanes)
+            self.used[lanes] = at + 1
 
-    def finish(self, lanes: np.ndarray) -> None:
-        for _ in range(4):
-            self.out[lanes, self.used[lanes]] = self.shift(lanes)
-            self.used[lanes] += 1
+    def finish(self, lane: int) -> bytes:
+        """A lane's payload; the lane itself stays as it is, and may go on."""
+        low = self.low[lane]
+        rest = np.array([low >> np.uint64(s) & _FIELD for s in (48, 32, 16, 0)], "<u2")
+        return self.out[lane, : self.used[lane]].tobytes() + rest.tobytes()
 
 
 class _Reader(_Range):
     def __init__(self, payloads: list[bytes]) -> None:
         super().__init__(len(payloads))
-        self.data = np.zeros((len(payloads), max(map(len, payloads)) + 8), np.uint8)
+        self.data = np.zeros((len(payloads), max(map(len, payloads)) // 2 + 5), "<u2")
         for i, p in enumerate(payloads):
-            self.data[i, : len(p)] = np.frombuffer(p, np.uint8)
-        self.code = np.zeros(len(payloads), np.uint64)
-        for i in range(4):
-            self.code = self.code << np.uint64(8) | self.data[:, i]
-        self.used = np.full(len(payloads), 4)
-
-    def value(self, lanes: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        unit = self.width[lanes] // (np.uint64(total) if isinstance(total, int) else total.astype(np.uint64))
-        return (((self.code[lanes] - self.low[lanes]) & _MASK) // unit).astype(np.int64)
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        self.narrow(lanes, start, size, total)
-        while len(lanes := self.settled(lanes)):
-            self.shift(lanes)
-            self.code[lanes] = ((self.code[lanes] << np.uint64(8)) & _MASK) | self.data[lanes, np.minimum(self.used[lanes], self.data.shape[1] - 1)]
-            self.used[lanes] += 1
+            words = np.frombuffer(p, "<u2", len(p) // 2)
+            self.data[i, : len(words)] = words
+        self.code, self.used = np.zeros(len(payloads), np.uint64), np.zeros(len(payloads), np.int64)
+        for _ in range(4):
+            self.pull(np.arange(len(payloads)))
 
+    def pull(self, lanes: np.ndarray) -> None:
+        at = self.used[lanes]
+        self.code[lanes] = self.code[lanes] << _SIXTEEN | self.data[lanes, np.minimum(at, self.data.shape[1] - 1)]
+        self.used[lanes] = at + 1
 
-def _shifts(wide: bool) -> tuple[int, ...]:
-    return (24, 16, 8, 0) if wide else (8, 0)
+    def settle(self) -> None:
+        while len(lanes := self.settled()):
+            self.shift(lanes)
+            self.pull(lanes)
+
+    def bits(self, bits: np.ndarray) -> np.ndarray:
+        """So many flat bits of each lane."""
+        unit = self.width >> bits
+        value = np.minimum((self.code - self.low) // unit, (np.uint64(1) << bits) - np.uint64(1))
+        self.narrow(unit, value, 1)
+        return value.astype(np.int64)
 
 
 def encode_blocks(ids: np.ndarray, wide: bool = False, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
@@ -184,27 +210,32 @@ def encode_blocks(ids: np.ndarray, wide: bool = False, block: int = BLOCK) -> li
     cuts = range(0, len(ids), block)
     for i in range(0, len(cuts), LANES):
         some = [ids[a : a + block] for a in cuts[i : i + LANES]]
-        lengths = np.array([len(b) for b in some])
-        columns = np.zeros((int(lengths.max()), len(some)), np.int32)
-        for j, b in enumerate(some):
-            columns[: len(b), j] = b
-        models, writer = _Models(len(some)), _Writer(len(some), (8 if wide else 5) * len(columns) + 64)
-        for t, column in enumerate(columns):
-            lanes = models.every if t < lengths[-1] else models.every[lengths > t]
+        # Only the last block can be shorter; its lane goes on with zeros, unread.
+        longest, last = len(some[0]), len(some[-1])
+        columns = np.zeros((len(some), longest), np.int64 if wide else np.int32)
+        for lane, b in zip(columns, some):
+            lane[: len(b)] = b
+        models, writer = _Models(len(some), wide), _Writer(len(some), (4 if wide else 3) * longest + 16)
+        ending = b""
+        for t, column in enumerate(np.ascontiguousarray(columns.T)):
+            if t == last:
+                ending = writer.finish(len(some) - 1)
             models.look()
             kind = models.kind_of(column)
-            size = models.frequency[models.every, kind]
-            start = models.cumulative[models.every, kind] - size
-            writer.put(lanes, start[lanes], size[lanes], models.cumulative[lanes, 3])
-            hit = lanes[kind[lanes] == 2]
-            writer.put(hit, column[hit] & (_CACHE - 1), np.ones(len(hit), np.int64), _CACHE)
-            miss = lanes[kind[lanes] == 3]
-            for shift in _shifts(wide):
-                writer.put(miss, column[miss] >> shift & 255, np.ones(len(miss), np.int64), 256)
+            start, size = models.share(kind)
+            writer.narrow(writer.width // models.total, start, size)
+            upper = column >> 16 if wide else column
+            value = np.where(kind == 3, upper, np.where(kind == 2, column & (1 << _CACHE) - 1, 0))
+            writer.narrow(writer.width >> _AFTER[kind], value.astype(np.uint64), 1)
+            writer.settle()
+            if wide:
+                value = np.where(kind == 3, column & 0xFFFF, 0)
+                writer.narrow(writer.width >> _SECOND_HALF[kind], value.astype(np.uint64), 1)
+                writer.settle()
             models.learn(column, kind)
-        writer.finish(models.every)
         for j, b in enumerate(some):
-            out.append((len(b), zlib.crc32(b.astype("<u4").tobytes()), writer.out[j, : writer.used[j]].tobytes()))
+            payload = ending if last < longest and j == len(some) - 1 else writer.finish(j)
+            out.append((len(b), zlib.crc32(b.astype("<u4").tobytes()), payload))
     return out
 
 
@@ -213,36 +244,26 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]], wide: bool = False) -> n
     parts: list[np.ndarray] = []
     for i in range(0, len(blocks), LANES):
         some = blocks[i : i + LANES]
-        lengths = np.array([n for n, _, _ in some])
-        models, reader = _Models(len(some)), _Reader([p for _, _, p in some])
-        columns = np.zeros((int(lengths.max()), len(some)), np.int32)
-        full = int(lengths.min())
-        for t, column in enumerate(columns):
-            lanes = models.every if t < full else models.every[lengths > t]
+        models, reader = _Models(len(some), wide), _Reader([p for _, _, p in some])
+        columns = np.zeros((max(n for n, _, _ in some), len(some)), np.int64 if wide else np.int32)
+        for t in range(len(columns)):
             models.look()
-            total = models.cumulative[:, 3]
-            at = np.minimum(reader.value(lanes, total[lanes]), total[lanes] - 1)
-            kind = np.full(len(some), 3)
-            kind[lanes] = (models.cumulative[lanes] <= at[:, None]).sum(axis=1)
-            size = models.frequency[models.every, kind]
-            start = models.cumulative[models.every, kind] - size
-            reader.take(lanes, start[lanes], size[lanes], total[lanes])
-            ids = np.where(kind == 0, models.guess2, np.where(kind == 1, models.guess1, 0))
-            hit = lanes[kind[lanes] == 2]
-            slot = np.minimum(reader.value(hit, _CACHE), _CACHE - 1)
-            reader.take(hit, slot, np.ones(len(hit), np.int64), _CACHE)
-            ids[hit] = models.cache[hit, slot]
-            miss = lanes[kind[lanes] == 3]
-            whole = np.zeros(len(miss), np.int64)
-            for _ in _shifts(wide):
-                byte = np.minimum(reader.value(miss, 256), 255)
-                reader.take(miss, byte, np.ones(len(miss), np.int64), 256)
-                whole = whole << 8 | byte
-            ids[miss] = whole
-            column[lanes] = ids[lanes]
-            models.learn(column, kind)
-        for j, (n, crc, _) in enumerate(some):
-            got = columns[:n, j]
+            unit = reader.width // models.total
+            kind = models.kind_at(np.minimum((reader.code - reader.low) // unit, models.total - np.uint64(1)))
+            start, size = models.share(kind)
+            reader.narrow(unit, start, size)
+            value = reader.bits(_AFTER[kind])
+            reader.settle()
+            whole = value
+            if wide:
+                whole = value << 16 | reader.bits(_SECOND_HALF[kind])
+                reader.settle()
+            slot = value & (1 << _CACHE) - 1
+            found = np.where(kind == 0, models.guess2, np.where(kind == 1, models.guess1, np.where(kind == 2, models.cache.take(models.slots + slot), whole)))
+            columns[t] = found
+            models.learn(columns[t], kind)
+        for j, ((n, crc, _), lane) in enumerate(zip(some, np.ascontiguousarray(columns.T))):
+            got = lane[:n].astype(np.int32)
             if zlib.crc32(got.astype("<u4").tobytes()) != crc:
                 raise Corrupt(f"block {i + j}: checksum")
             parts.append(got)
@@ -257,7 +278,7 @@ class IdFileWriter:
         self.held: list[tuple[int | None, int]] = []
         self.parts: list[np.ndarray] = []
         self.size = 0
-        out.write(HEADER.pack(MAGIC, 1, 4 if wide else 2))
+        out.write(HEADER.pack(MAGIC, VERSION, 4 if wide else 2))
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
         """Documents with their ids laid end to end."""
@@ -294,7 +315,7 @@ def _exactly(stream: BinaryIO, n: int) -> bytes:
 def read_ids(stream: BinaryIO) -> Iterator[tuple[int | None, np.ndarray]]:
     """(document id, token ids) of a file in order, with all checks."""
     magic, version, width = HEADER.unpack(_exactly(stream, HEADER.size))
-    if magic != MAGIC or version != 1 or width not in (2, 4):
+    if magic != MAGIC or version != VERSION or width not in (2, 4):
         raise Corrupt("not a token id file")
     waiting: list[tuple[int | None, int]] = []
     next_, documents, ids = 0, 0, 0

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tidemark.functions import codec
 from tidemark.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
@@ -37,3 +38,10 @@ def test_query(spark, oracle, name):
     names = found.columns
     assert sorted(names) == columns
     assert got == sorted((tuple(plain(dict(zip(names, r))[c]) for c in columns) for r in found.fetchall()), key=repr)
+
+
+def test_varint_len_past_five_bytes(spark, tmp_path):
+    keys = [1, 2083, 2084, 23_570, 266_000, 3_018_000, 34_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.n for r in catalog.QUERIES["varint_len"](spark, str(tmp_path)).collect()}
+    assert got == {k: len(codec.put_varint(k * k * 7919)) for k in keys} and max(got.values()) == 9

@@ -225,6 +225,19 @@ def test_secrets(spark, docs, empty):
     assert clean == {1: ("x [SECRET] y", 12), 2: ("clean", 5), 3: (None, None)}
 
 
+def weak_names(spark, texts):
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [s.name for s in r.spans if s.name.split(":")[0] in ("loose_id", "loose_key", "endpoint")] for r in secrets.secret_spans(data).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_endpoint_beside_an_unlabelled_key(spark):
+    pair = "connect https://db.example.com/x with wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE12345Q"
+    far = " é" * 300
+    alone, distant, apart = weak_names(spark, [pair, pair + far + " AKIA", pair.replace(" with ", far)])
+    assert alone == distant == ["endpoint:8:32"] and apart == []
+
+
 def test_url_filters(spark):
     urls = [None, "", "http://", "x://COM", "http://com/", "a://Example.COM/en/x?y#z", "a://www.example.com/en/", "a://awww.example.com/en", "net/es/", "q://x.net/es/a", "q://net/fr", "http://example.com./en/", "a://b.example.com/en/deep/x", "a://é.com/ü"]
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("example.com", "/en/deep/", "allow"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), (None, "/", "block"), ("", "/", "block")]

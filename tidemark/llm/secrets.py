@@ -71,8 +71,9 @@ def _matches(text: Column, kind: str) -> Column:
 def _possible(text: Column, kind: str) -> Column:
     """A cheap condition that every text with a match of the kind to report meets.
 
-    Substring tests run many times faster than the patterns.  An unlabelled key is
-    reported only beside an identifier, so texts without one are not searched.
+    Substring tests run many times faster than the patterns.  An unlabelled key
+    counts only beside an identifier, which links it, or an endpoint, which it
+    links, so texts without either are not searched.
     """
     labelled = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
     if kind == "assign":
@@ -84,7 +85,7 @@ def _possible(text: Column, kind: str) -> Column:
     if kind == "endpoint":
         return F.contains(text, F.lit("://"))
     if kind == "loose_key":
-        return F.contains(text, F.lit("AKIA")) | (labelled & F.regexp_like(text, F.lit(KINDS["loose_id"][0])))
+        return F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("://")) | (labelled & F.regexp_like(text, F.lit(KINDS["loose_id"][0])))
     return F.regexp_like(text, F.lit(KINDS[kind][0]))
 
 

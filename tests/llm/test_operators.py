@@ -238,6 +238,16 @@ def test_endpoint_beside_an_unlabelled_key(spark):
     assert alone == distant == ["endpoint:8:32"] and apart == []
 
 
+def test_unlabelled_keys_after_a_sign_and_of_any_length(spark):
+    key, long, huge = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE12345", "aB3x" * 21 + "Qz==", "aB3x" * 50_000
+    texts = [f"AKIA{'A' * 16} aws_secret_access_key={key}", f"AccountName=shop1;AccountKey={long}", f"AccountName=shop1 {long}", f"AccountName=shop1 {huge}", f"AccountName=shop1 {huge}_", f"AccountName=shop1 {'x' * 200_000}"]
+    name = "loose_id:0:17"
+    assert weak_names(spark, texts) == [["loose_key:43:83"], [name, "loose_key:29:117"], [name, "loose_key:18:106"], [name, "loose_key:18:200018"], [], []]
+    data = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts[:3])], "doc_id long, text string, n_chars long")
+    clean = {r.doc_id: r.text for r in secrets.redact(data).collect()}
+    assert clean == {0: "[SECRET] aws_secret_access_key=[SECRET]", 1: "[SECRET];AccountKey=[SECRET]", 2: "[SECRET] [SECRET]"}
+
+
 def test_url_filters(spark):
     urls = [None, "", "http://", "x://COM", "http://com/", "a://Example.COM/en/x?y#z", "a://www.example.com/en/", "a://awww.example.com/en", "net/es/", "q://x.net/es/a", "q://net/fr", "http://example.com./en/", "a://b.example.com/en/deep/x", "a://é.com/ü"]
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("example.com", "/en/deep/", "allow"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), (None, "/", "block"), ("", "/", "block")]

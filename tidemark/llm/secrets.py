@@ -39,7 +39,7 @@ KINDS: dict[str, tuple[str, int, int, str, bool]] = {
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20, "identifier", True),
     "hex": (r"[0-9a-f]{24,}", 0, 24, "secret", True),
     "loose_id": (r"""(?:[Cc]lient|[Aa]ccess|[Aa]ccount|[Uu]ser)[_-]?(?:[Kk]ey[_-]?)?(?:[Ii][Dd]|[Nn]ame)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}""", 0, 4, "identifier", False),
-    "loose_key": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,80}[0-9])(?=[A-Za-z0-9+/]{0,80}[A-Z])(?=[A-Za-z0-9+/]{0,80}[a-z])[A-Za-z0-9+/]{32,80}={0,2}(?![A-Za-z0-9+/=_-])", 0, 32, "secret", False),
+    "loose_key": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])", 0, 32, "secret", False),
     "endpoint": (r"""(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]+""", 0, 8, "endpoint", False),
 }
 #: Roles that make a weak candidate of a role worth reporting.

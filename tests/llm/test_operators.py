@@ -188,6 +188,24 @@ def test_id_files(docs, rows, empty):
     assert id_files.document_digests(id_files.write_ids(empty, path, end=2)).count() == 0
 
 
+def test_id_files_with_added_tokens(spark):
+    path, token = P.path("byte_bpe_50k.json"), "<|endoftext|>"
+    library = Tokenizer.from_file(path)
+    texts = ["plain text", f"one{token}two", None, token, f"{token}{token} é  {token}\n", "", "ends in <|endof", "text|> begins", f" {token} ", "x" * 3000 + token, "last"]
+    expected, at = [], 0
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = id_files.document_digests(id_files.write_ids(data, path, end=2)).collect()
+    assert sorted(map(tuple, got)) == expected
+    coder = id_files.LibraryIds(path)
+    raw = [(t or "").encode() for t in texts]
+    ids, bounds = coder.encode_raw(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_language(spark, empty):
     r = np.random.default_rng(2)
     syllables = {"xx": ["the", "ing", "and", "wh", "er"], "yy": ["é", "que", "oi", "le", "aux"], "zz": ["sch", "ung", "ein", "ü", "ß"]}

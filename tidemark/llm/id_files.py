@@ -350,19 +350,49 @@ def read_ids(stream: BinaryIO) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 class LibraryIds(PieceIds):
-    """Ids from a tokenizers file: distinct pieces go through the library's model."""
+    """Ids from a tokenizers file: distinct pieces go through the library's model,
+    texts with an added token of the file through the whole library."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         # Byte-level alphabet: printable bytes stand for themselves, the others
         # for the characters from 256 on, in order.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: 256 + i for i, b in enumerate(others)}
 
+    def encode_raw(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, bounds = super().encode_raw(raw, offsets)
+        held = self.with_added(raw.tobytes(), offsets)
+        if not len(held):
+            return ids, bounds
+        parts, lengths, at = [], np.diff(bounds), 0
+        for i in held.tolist():
+            text = raw[offsets[i] : offsets[i + 1]].tobytes().decode()
+            own = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+            parts += [ids[at : bounds[i]], own]
+            lengths[i], at = len(own), bounds[i + 1]
+        return np.concatenate([*parts, ids[at:]]), np.concatenate(([0], np.cumsum(lengths)))
+
+    def with_added(self, data: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold an added token, in order."""
+        found: set[int] = set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, side="right")) - 1
+                inside = at + len(token) <= offsets[i + 1]
+                if inside:
+                    found.add(i)
+                # The rest of a text that is found needs no search.
+                at = data.find(token, int(offsets[i + 1]) if inside else at + 1)
+        return np.array(sorted(found), np.int64)
+
     def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = ends - starts
         text = raw[ragged(starts, lengths)].tobytes().decode("latin-1").translate(self.alphabet)

@@ -225,6 +225,17 @@ def test_language(spark, empty):
     assert {x.lang_pred for x in langid.predict(data, none).collect()} == {"und"}
 
 
+def test_language_of_six_in_one_text(spark):
+    r = np.random.default_rng(8)
+    letters = {f"l{k}": list("abcdefghijklmnopqrstuvwx"[4 * k : 4 * k + 4]) for k in range(6)}
+    text = {lang: lambda n, own=own: " ".join("".join(r.choice(own, 5)) for _ in range(n)) for lang, own in letters.items()}
+    rows = [(i, text[f"l{i % 6}"](40), f"l{i % 6}") for i in range(240)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ~langid.held_out())
+    mixed = [(7, " ".join(text[lang](150 + 10 * (lang == "l5")) for lang in letters))]
+    got = langid.predict(spark.createDataFrame(mixed, "doc_id long, text string"), model).first()
+    assert got.lang_pred == "l5" and 1 / 6 < got.score < 0.2
+
+
 def test_secrets(spark, docs, empty):
     texts = [None, "", "token=token:abcdefg", "secret: token=abcdefgh", "é" * 9 + "AKIA" + "A" * 16 + "AKIA" + "B" * 30, "a" * 24 + "g" + "f" * 23, "apikey=12345\u212a password\": \"abcdef.\"", "tokentoken==abcdef passwd=  \"''", "client_id=abcd1234 key aB3" + "x" * 40, "see https://x.y/z and secret=abcdef1 ok", "see https://x.y/z" + " é" * 300 + " secret=abcdef1", "https://x.y/z"]
     data = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts + texts[3:4])], "doc_id long, text string, row long")

@@ -31,8 +31,6 @@ MOST_LANGUAGES = 512
 SMOOTHING = 0.5
 PENALTY = 2.0
 ROUNDS, SETTLED = 30, 1e-3
-#: Nested sets compared for one document.
-LARGEST_SET = 4
 
 #: Letters as they are (A-Z lowered), bytes of other characters as they are, the rest as space.
 _CODES = np.where(K.byte_class([(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)]), K.LOWER, 0x20).astype(np.uint8)
@@ -168,11 +166,14 @@ def infer(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     # What a larger set can gain at most is the full fit's gain.
     unsettled = np.flatnonzero(fit - 2 * charge > chosen_fit)
     if len(unsettled):
-        inside = np.isin(of, unsettled)
-        some = known[inside]
-        some_of = np.searchsorted(unsettled, of[inside])
-        some_first = np.flatnonzero(np.concatenate(([True], some_of[1:] != some_of[:-1])))
-        for size in range(2, min(kinds, LARGEST_SET) + 1):
+        for size in range(2, kinds + 1):
+            unsettled = unsettled[fit[unsettled] - size * charge[unsettled] > chosen_fit[unsettled]]
+            if not len(unsettled):
+                break
+            inside = np.isin(of, unsettled)
+            some = known[inside]
+            some_of = np.searchsorted(unsettled, of[inside])
+            some_first = np.flatnonzero(np.concatenate(([True], some_of[1:] != some_of[:-1])))
             allowed = np.zeros((len(unsettled), kinds))
             np.put_along_axis(allowed, order[unsettled, :size], 1.0, axis=1)
             mixed, mixed_fit = _mixture(some, weights[inside], some_first, some_of, allowed)

@@ -5,9 +5,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.plans import catalog
+from tidemark.runtime import keep
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -45,3 +47,13 @@ def test_varint_len_past_five_bytes(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
     got = {r.o_orderkey: r.n for r in catalog.QUERIES["varint_len"](spark, str(tmp_path)).collect()}
     assert got == {k: len(codec.put_varint(k * k * 7919)) for k in keys} and max(got.values()) == 9
+
+
+def test_checksum_verify_reports_payloads_altered_in_the_store(spark, monkeypatch):
+    """Every seventh value is altered after its checksum was taken."""
+    value = F.when(F.col("seq") % 7 == 0, F.lit("altered")).otherwise(F.col("value"))
+    monkeypatch.setattr(catalog, "keep", lambda df, label: keep(df.withColumn("value", value), label), raising=False)
+    seqs = [r[0] for r in spark.read.parquet(str(DATA / "orders.parquet")).select("o_orderkey").collect()]
+    bad = sum(s % 7 == 0 for s in seqs)
+    got = {r.ok: r.n for r in catalog.QUERIES["checksum_verify"](spark, str(DATA)).collect()}
+    assert got == {True: len(seqs) - bad, False: bad} and bad

@@ -159,6 +159,11 @@ def checksums(rows: DataFrame, payload: Column) -> DataFrame:
     return rows.withColumn("crc", F.crc32(F.concat(F.unhex(F.lit("01")), payload.cast("binary"))))
 
 
+def verified(rows: DataFrame, payload: Column) -> DataFrame:
+    """``rows`` as read, with ``ok``: whether the stored ``crc`` is that of the payload."""
+    return rows.withColumn("ok", F.col("crc") == F.crc32(F.concat(F.unhex(F.lit("01")), payload.cast("binary"))))
+
+
 def entry_bytes(key: Column, value: Column) -> Column:
     """A memtable entry: length-prefixed internal key (8 bytes more) and value."""
     k, v = F.octet_length(key).cast("long") + 8, F.octet_length(F.coalesce(value, F.lit(""))).cast("long")

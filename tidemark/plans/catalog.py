@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec
 from tidemark.operators import batches, files, layout, reads
 from tidemark.plans.fixtures import BATCH, FILE_KEYS, event_log, file_table, loose_files, order_run, part_run, sql, table, user_key
+from tidemark.runtime import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -416,10 +417,9 @@ def bloom_fpr(spark, sf_dir):
 
 @query()
 def checksum_verify(spark, sf_dir):
-    run = order_run(spark, sf_dir)
-    stored = layout.checksums(run, F.concat("user_key", "value"))
-    read = stored.withColumn("again", F.crc32(F.concat(F.unhex(F.lit("01")), F.concat("user_key", "value").cast("binary"))))
-    return read.groupBy((F.col("crc") == F.col("again")).alias("ok")).agg(F.count("*").alias("n"))
+    payload = F.concat("user_key", "value")
+    stored = keep(layout.checksums(order_run(spark, sf_dir), payload), "checksums")
+    return layout.verified(stored, payload).groupBy("ok").agg(F.count("*").alias("n"))
 
 
 # -- codecs

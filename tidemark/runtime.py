@@ -61,7 +61,26 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def drop(*kept: DataFrame) -> None:
+    """Delete tables written by :func:`keep` that nothing will read again."""
+    for df in kept:
+        path = getattr(df, "kept_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, or the like of it that no column of ``df`` starts with."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,6 +88,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on every executor."""
+    """``mapInArrow`` with the package at hand on every executor.
+
+    At a task's end Arrow's pool gives its free memory back, so that a worker kept
+    for the next task holds no more than an idle one.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)

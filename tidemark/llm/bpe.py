@@ -5,11 +5,11 @@ each length bucket, padded at the right.  In every round each unfinished row
 merges its leftmost pair of least rank: ranks of adjacent pairs come from an
 open-addressing hash table probed for whole matrices at once, and the row is
 compacted by one place.  Rows without a mergeable pair leave the matrix.
-Pieces beyond the widest bucket (a text without any break) would need a round
-for each of their merges over all their bytes, so those are merged on a heap in
-the same leftmost-least-rank order.
+A piece beyond the widest bucket (a text without any break) is a matrix of one
+row, whose rounds merge every place of the least rank at once.
 
-A worker remembers the ids of pieces by a 64-bit hash.  Decoded bytes are held
+A worker remembers the ids of pieces by a 64-bit hash, in tables that grow with
+their content, and keeps at most ``KEPT`` pieces from task to task.  Decoded bytes are held
 against the text they came from, so a hash that two pieces share is noticed, and
 that text is encoded afresh from its own pieces.
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -30,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _kernels as K
-from tidemark.llm._scratch import map_arrow
+from tidemark.runtime import map_arrow
 from tidemark.llm.pretokens import piece_starts
 
-#: Bucket widths in bytes; a longer piece is merged on a heap.
+#: Bucket widths in bytes; a longer piece is a row of its own.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Distinct pieces remembered by a worker before it starts anew.
 REMEMBERED = 1_000_000
+#: Pieces that a worker may remember between tasks (some 10 MB).
+KEPT = 200_000
 #: Bytes of text encoded at a time.
 PIECE = 2 << 20
 #: Cells of one matrix.
@@ -59,14 +60,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class HashTable:
-    """uint64 keys (0 is no key) to int32 values, by open addressing."""
+    """uint64 keys (0 is no key) to int32 values, by open addressing; at most a
+    third of the slots are taken, and the table grows with its content."""
 
-    def __init__(self, room: int, none: int = -1) -> None:
-        self.bits = max(4, int(4 * max(1, room) - 1).bit_length())
+    def __init__(self, room: int = 0, none: int = -1) -> None:
+        self.none, self.used = np.int32(none), 0
+        self._resize(room)
+
+    def _resize(self, room: int) -> None:
+        self.bits = max(4, int(3 * max(1, room) - 1).bit_length())
         self.mask = (1 << self.bits) - 1
         self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = np.full(1 << self.bits, none, np.int32)
-        self.none = np.int32(none)
+        self.values = np.full(1 << self.bits, self.none, np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -74,6 +79,13 @@ class HashTable:
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Distinct new keys."""
+        if 3 * (self.used + len(keys)) > self.mask:
+            held = self.keys != 0
+            old_keys, old_values = self.keys[held], self.values[held]
+            self._resize(2 * (self.used + len(keys)))
+            self.used = 0
+            self.put(old_keys, old_values)
+        self.used += len(keys)
         at = self._slot(keys)
         while len(keys):
             free = np.flatnonzero(self.keys[at] == 0)
@@ -130,7 +142,12 @@ class PieceIds:
         self.forget()
 
     def forget(self) -> None:
-        self.table, self.flat = HashTable(2 * REMEMBERED), _Flat(np.int32)
+        self.table, self.flat = HashTable(), _Flat(np.int32)
+
+    def rest(self) -> None:
+        """At a task's end: what a worker keeps until its next task is bounded."""
+        if self.flat.runs > KEPT:
+            self.forget()
 
     def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids of each piece) of the pieces raw[start:end]."""
@@ -148,7 +165,8 @@ class PieceIds:
             which = new[first]
             base = self.flat.runs
             if base + len(keys) > 2 * REMEMBERED:  # more new pieces than room: a table of their own
-                self.table, self.flat, base = HashTable(2 * len(hashes)), _Flat(np.int32), 0
+                self.forget()
+                base = 0
                 keys, which = np.unique(hashes, return_index=True)
                 new = np.arange(len(hashes))
             self.flat.add(*self.learn(raw, starts[which], ends[which]))
@@ -233,31 +251,34 @@ class Encoder(PieceIds):
                 ranks[row, column] = self._rank(ids[row, column], ids[row, column + 1])
         return out_ids, out_lengths
 
-    def _heap(self, piece: bytes) -> list[int]:
-        """Ids of one long piece: pairs wait on a heap by (rank, place)."""
-        ids = self.single[np.frombuffer(piece, np.uint8)]
-        ranks = self._rank(ids[:-1], ids[1:])
-        heap = [(int(ranks[i]), int(i)) for i in np.flatnonzero(ranks != _NONE)]
-        heapq.heapify(heap)
-        ids = ids.tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or self._joined(ids[i], ids[j]) != rank:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (r := self._joined(ids[x], ids[y])) is not None:
-                    heapq.heappush(heap, (r, x))
-        return [x for x in ids if x >= 0]
-
-    def _joined(self, left: int, right: int) -> int | None:
-        return self.ranks.get(self.tokens[left] + self.tokens[right])
+    def _row(self, ids: np.ndarray) -> np.ndarray:
+        """Ids of one long row of byte ids.
+
+        A round merges the places of the least rank from left to right, up to the
+        first whose merge makes a pair of a lesser rank: what one merge at a time
+        would do in as many rounds."""
+        ranks = np.append(self._rank(ids[:-1], ids[1:]), _NONE)
+        while (best := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == best)
+            heads = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            # Of places that overlap, every second one is left for a merge.
+            at = at[(np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))) % 2 == 0]
+            lesser = np.zeros(len(at), bool)
+            left = at > 0
+            touching = np.diff(at, prepend=-3)[left] == 2
+            lesser[left] = self._rank(np.where(touching, best, ids[at[left] - 1]), np.full(left.sum(), best)) < best
+            right = at + 2 < len(ids)
+            lesser[right] |= self._rank(np.full(right.sum(), best), ids[at[right] + 2]) < best
+            if lesser.any():
+                at = at[: lesser.argmax() + 1]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids[at], ranks[at] = best, _NONE
+            ids, ranks = ids[kept], ranks[kept]
+            at = at - np.arange(len(at))
+            for pair in (at[at > 0] - 1, at[at < len(ids) - 1]):
+                ranks[pair] = self._rank(ids[pair], ids[pair + 1])
+        return ids
 
     def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = ends - starts
@@ -278,9 +299,9 @@ class Encoder(PieceIds):
                 parts.append(ids[np.arange(width + 1) < lengths[:, None]])
                 counts.append(lengths)
         for i in np.flatnonzero(sizes > WIDTHS[-1]):
-            ids = self._heap(raw[starts[i] : ends[i]].tobytes())
+            ids = self._row(self.single[raw[starts[i] : ends[i]]])
             rows.append(np.array([i]))
-            parts.append(np.array(ids, np.int32))
+            parts.append(ids)
             counts.append(np.array([len(ids)]))
         order, flat, lengths = np.concatenate(rows), np.concatenate(parts), np.concatenate(counts)
         at = np.cumsum(lengths) - lengths
@@ -369,6 +390,7 @@ def _mapped(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, schema
         for batch in batches:
             for first, count, raw, offsets in text_runs(batch.column(1)):
                 yield pa.record_batch([batch.column(0).slice(first, count), *shape(coder, *coder.encode_checked(raw, offsets))], names=names)
+        coder.rest()
 
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)
 
@@ -385,5 +407,6 @@ def count_tokens(docs: DataFrame, ranks_path: str, *, text_col: str = "text") ->
                     counts[n] = counts.get(n, 0) + docs_of
         if counts:
             yield pa.record_batch([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["length", "n_docs"])
+        coder.rest()
 
     return map_arrow(docs.select(text_col), run, "length long, n_docs long")

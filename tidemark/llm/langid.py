@@ -3,10 +3,10 @@
 Training counts byte trigrams by language.  A document is a mixture: each of its
 trigrams comes from language l with probability pi_l, and expectation-
 maximisation estimates pi from the trigram likelihoods.  The language set is
-chosen by penalised likelihood: the fit with all languages bounds what a larger
-set can gain, so most documents are settled by their best language alone, and
-the others compare the nested sets of their heaviest languages, each language
-charged ``PENALTY * log(trigrams)``.  The prediction is the heaviest language of
+chosen by penalised likelihood: a bound on the fit with all languages shows that
+most documents are settled by their best language alone, and the others compare
+the nested sets of their heaviest languages, each language charged
+``PENALTY * log(trigrams)``.  The prediction is the heaviest language of
 the chosen set, and the score its share.
 """
 
@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _kernels as K
-from tidemark.llm._scratch import map_arrow
+from tidemark.runtime import map_arrow
 
 UNKNOWN = "und"
 BITS = 16
-#: Languages a model may hold; the model's size is at most this times 2**BITS.
+#: Languages a model may hold unless ``train`` is told otherwise (128 MB).
 MOST_LANGUAGES = 512
 #: Added to every count.
 SMOOTHING = 0.5
@@ -35,6 +35,8 @@ ROUNDS, SETTLED = 30, 1e-3
 #: Letters as they are (A-Z lowered), bytes of other characters as they are, the rest as space.
 _CODES = np.where(K.byte_class([(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)]), K.LOWER, 0x20).astype(np.uint8)
 
+_LETTERS = K.byte_class([(0x41, 0x5A), (0x61, 0x7A)])
+
 
 def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each trigram, its document) of texts laid end to end.
@@ -68,12 +70,14 @@ class Model:
     """Share of the training trigrams in each language."""
 
 
-def train(docs: DataFrame, learn_from: Column, *, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, learn_from: Column, *, text_col: str = "text", lang_col: str = "lang", most: int = MOST_LANGUAGES) -> Model:
     """Counts over all rows that meet ``learn_from`` with a text and a language.
 
-    Each task adds up its counts by language, Spark sums them, and at most
-    languages times 2**BITS sums reach the driver.  More than MOST_LANGUAGES
-    labels are an error; no labelled text gives a model without languages.
+    Each task adds up its counts by language, Spark sums them, and the sums reach
+    the driver a language at a time, in one pass over the texts.  More than
+    ``most`` labels are an error, not a cut: a model takes 256 KB a language on
+    the driver and in every worker.  No labelled text gives a model without
+    languages.
     """
     rows = docs.where(learn_from & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col))
 
@@ -101,36 +105,59 @@ def train(docs: DataFrame, learn_from: Column, *, text_col: str = "text", lang_c
         yield from out()
 
     summed = map_arrow(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    kinds = summed.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if kinds > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    found = summed.toPandas()
-    languages = sorted(found["lang"].unique())
-    sums = np.zeros((1 << BITS, len(languages)))
-    if languages:
-        sums[found["bucket"], np.searchsorted(languages, found["lang"].to_numpy(str))] = found["n"]
-    smooth = sums + SMOOTHING
-    return Model(languages, (smooth / smooth.sum(axis=0)).astype(np.float32), sums.sum(axis=0) / max(1.0, sums.sum()))
-
-
-def _mixture(likelihood: np.ndarray, weights: np.ndarray, first: np.ndarray, of: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihoods of documents by expectation-maximisation.
+    by_lang = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).select("lang", "c.bucket", "c.n")
+    held: dict[str, np.ndarray] = {}
+    for lang, bucket, n in by_lang.toLocalIterator():
+        if len(held) == most:
+            raise ValueError(f"more than {most} languages")
+        held[lang] = np.zeros(1 << BITS, np.float32)
+        held[lang][bucket] = n
+    languages = sorted(held)
+    smooth = np.empty((1 << BITS, len(languages)), np.float32)
+    totals = np.zeros(len(languages))
+    for i, lang in enumerate(languages):
+        sums = held.pop(lang).astype(np.float64)
+        totals[i] = sums.sum()
+        smooth[:, i] = (sums + SMOOTHING) / (totals[i] + SMOOTHING * len(sums))
+    return Model(languages, smooth, totals / max(1.0, totals.sum()))
+
+
+def _mixture(likelihood: np.ndarray, weights: np.ndarray, first: np.ndarray, of: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions of documents by expectation-maximisation, their log-likelihoods,
+    and a bound that no proportions of the allowed languages exceed.
 
     ``likelihood`` has a row for each distinct trigram of each document, ``first``
     where each document's rows start, ``allowed`` the languages of each document.
+    A document's rounds end when its own shares settle, so its result does not
+    depend on the documents beside it.
     """
     totals = np.add.reduceat(weights, first)
     shares = allowed / allowed.sum(axis=1, keepdims=True)
+    live = np.arange(len(first))
+    part, part_weights, part_first, part_of, now = likelihood, weights, first, of, shares
+    done = np.zeros(len(live), bool)
     for _ in range(ROUNDS):
-        parts = shares[of] * likelihood
-        parts *= (weights / parts.sum(axis=1))[:, None]
-        now = np.add.reduceat(parts, first, axis=0) / totals[:, None]
-        moved = np.abs(now - shares).max() if len(now) else 0
-        shares = now
-        if moved < SETTLED:
+        parts = now[part_of] * part
+        parts *= (part_weights / parts.sum(axis=1))[:, None]
+        new = np.add.reduceat(parts, part_first, axis=0) / totals[live, None]
+        settled = np.abs(new - now).max(axis=1) < SETTLED
+        now = new
+        shares[live[~done]] = now[~done]
+        done |= settled
+        if done.all():
             break
-    fit = np.log((shares[of] * likelihood).sum(axis=1)) * weights
-    return shares, np.add.reduceat(fit, first)
+        if 2 * done.sum() > len(done):
+            rows = ~done[part_of]
+            part, part_weights = part[rows], part_weights[rows]
+            sizes = np.diff(np.append(part_first, len(part_of)))[~done]
+            part_first, part_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            live, now, done = live[~done], now[~done], np.zeros(len(sizes), bool)
+    mixed = (shares[of] * likelihood).sum(axis=1)
+    fit = np.add.reduceat(np.log(mixed) * weights, first)
+    # The log-likelihood is concave in the shares: with g the mean of p_l / mixture,
+    # other shares s gain at most total * log(sum s_l g_l).
+    gain = np.add.reduceat(likelihood * (weights / mixed)[:, None], first, axis=0) / totals[:, None]
+    return shares, fit, fit + totals * np.log((gain * (allowed > 0)).max(axis=1))
 
 
 def infer(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,18 +183,18 @@ def infer(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     present = owner[first]
     of = np.cumsum(np.isin(np.arange(len(owner)), first)) - 1
     totals = np.add.reduceat(weights, first)
-    shares, fit = _mixture(known, weights, first, of, np.ones((len(first), kinds)))
+    shares, _, bound = _mixture(known, weights, first, of, np.ones((len(first), kinds)))
     order = np.argsort(-shares, axis=1, kind="stable")
     alone = np.add.reduceat(np.log(known) * weights[:, None], first, axis=0)
     charge = PENALTY * np.log(totals + 1)
     chosen = alone.argmax(axis=1)
     part = np.ones(len(first))
     chosen_fit = alone.max(axis=1) - charge
-    # What a larger set can gain at most is the full fit's gain.
-    unsettled = np.flatnonzero(fit - 2 * charge > chosen_fit)
+    # No set of languages fits better than the bound on all of them.
+    unsettled = np.flatnonzero(bound - 2 * charge > chosen_fit)
     if len(unsettled):
         for size in range(2, kinds + 1):
-            unsettled = unsettled[fit[unsettled] - size * charge[unsettled] > chosen_fit[unsettled]]
+            unsettled = unsettled[bound[unsettled] - size * charge[unsettled] > chosen_fit[unsettled]]
             if not len(unsettled):
                 break
             inside = np.isin(of, unsettled)
@@ -176,7 +203,7 @@ def infer(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
             some_first = np.flatnonzero(np.concatenate(([True], some_of[1:] != some_of[:-1])))
             allowed = np.zeros((len(unsettled), kinds))
             np.put_along_axis(allowed, order[unsettled, :size], 1.0, axis=1)
-            mixed, mixed_fit = _mixture(some, weights[inside], some_first, some_of, allowed)
+            mixed, mixed_fit, _ = _mixture(some, weights[inside], some_first, some_of, allowed)
             better = mixed_fit - size * charge[unsettled] > chosen_fit[unsettled]
             where = unsettled[better]
             chosen[where], part[where] = mixed[better].argmax(axis=1), mixed[better].max(axis=1)
@@ -189,8 +216,10 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) added, from the text alone.
 
     A null text, a text without a letter and any text under a model without
-    languages is ``und`` with score 0.  All columns and rows of ``docs`` stay;
-    columns of those two names are replaced.
+    languages is ``und`` with score 0.  A text's result depends on
+    nothing but the text and the model, so repeated texts agree and however rows
+    are dealt the result is one.  All columns and rows of ``docs`` stay; columns of
+    those two names are replaced.  A very long text is one numpy pass of its own.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*kept)
@@ -204,7 +233,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
             for a, b in K.pieces(offsets, size):
                 best, score = infer(model, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
-                letters = np.array(_has_letter(part.column(at)))
+                letters = _has_letter(part.column(at), raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 best = np.where(letters, best, -1)
                 score = np.where(best < 0, 0.0, score)
                 yield pa.record_batch([*part.columns, pa.array([names[i] for i in best], pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
@@ -213,9 +242,13 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     return map_arrow(rows, run, fields)
 
 
-def _has_letter(column: pa.Array) -> list[bool]:
+def _has_letter(column: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
-    return [any(map(str.isalpha, (text[:64]))) or any(map(str.isalpha, text)) if text else False for text in column.to_pylist()]
+    sums = np.concatenate(([0], np.cumsum(_LETTERS[raw])))
+    found = np.diff(sums[offsets]) > 0
+    for i in np.flatnonzero(~found & (np.diff(offsets) > 0)).tolist():
+        found[i] = any(map(str.isalpha, column[i].as_py()))
+    return found
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Strong spans come from three patterns (assignments, access identifiers, long hex
-runs).  Weak candidates - loose identifiers, unlabelled keys, endpoints - are
-common in clean text, so one is reported only when a complementary part stands in
+runs).  Weak candidates - loose identifiers, unlabelled keys, secrets under short
+labels, endpoints - are common in clean text, so one is reported only when a complementary part stands in
 its scope: the same text, at most ``SCOPE`` code points away.  The link is an
 interval join: both sides are binned by ``SCOPE``, weak candidates to their own
 and the neighbouring bins, so a join key holds what fits in a few hundred code
@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import keep
+from tidemark.runtime import keep, spare_name
 
 #: Code points between complementary parts.
 SCOPE = 200
+#: Spans to mask are broadcast up to this many (16 bytes each).
+BROADCAST_SPANS = 1_000_000
 
 
 def _either_case(word: str) -> str:
@@ -30,6 +32,10 @@ def _either_case(word: str) -> str:
 
 
 _LABELS = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+#: Whose identifier a label names, and short labels of secrets: too common in clean
+#: text to report alone.
+_OWNERS = "|".join(_either_case(w) for w in ("client", "access", "account", "user", "app", "application", "tenant", "project", "consumer", "customer", "login", "subscription", "key"))
+_SHORT = "|".join(_either_case(w) for w in ("pass", "pwd", "pw", "key", "auth", "authorization", "bearer", "credential", "credentials", "signature", "sig"))
 
 #: kind: (pattern, group whose length counts, least length, role, strong).  The
 #: order is that of strong kinds in results.  Runs of hex and of access characters
@@ -38,9 +44,10 @@ KINDS: dict[str, tuple[str, int, int, str, bool]] = {
     "assign": (rf"""({_LABELS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "secret", True),
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20, "identifier", True),
     "hex": (r"[0-9a-f]{24,}", 0, 24, "secret", True),
-    "loose_id": (r"""(?:[Cc]lient|[Aa]ccess|[Aa]ccount|[Uu]ser)[_-]?(?:[Kk]ey[_-]?)?(?:[Ii][Dd]|[Nn]ame)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}""", 0, 4, "identifier", False),
+    "loose_id": (rf"""(?:{_OWNERS})[_-]?(?:[Kk]ey[_-]?)?(?:[Ii][Dd]|[Nn]ame)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{{4,}}""", 0, 4, "identifier", False),
     "loose_key": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])", 0, 32, "secret", False),
-    "endpoint": (r"""(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]+""", 0, 8, "endpoint", False),
+    "endpoint": (r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+""", 0, 5, "endpoint", False),
+    "loose_secret": (rf"""(?<![A-Za-z0-9_-])(?:{_SHORT})["']?\x20*[:=]\x20*["']?([^\x00-\x20"'<>,;]{{4,}})""", 1, 4, "secret", False),
 }
 #: Roles that make a weak candidate of a role worth reporting.
 COMPLEMENTS = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("secret",)}
@@ -71,39 +78,41 @@ def _matches(text: Column, kind: str) -> Column:
 def _possible(text: Column, kind: str) -> Column:
     """A cheap condition that every text with a match of the kind to report meets.
 
-    Substring tests run many times faster than the patterns.  An unlabelled key
+    Substring tests run many times faster than the patterns.  A weak secret
     counts only beside an identifier, which links it, or an endpoint, which it
     links, so texts without either are not searched.
     """
     labelled = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
     if kind == "assign":
         return labelled & F.regexp_like(text, F.lit(r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]"""))
-    if kind == "loose_id":
-        return labelled
     if kind == "access":
         return F.contains(text, F.lit("AKIA"))
     if kind == "endpoint":
         return F.contains(text, F.lit("://"))
-    if kind == "loose_key":
-        return F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("://")) | (labelled & F.regexp_like(text, F.lit(KINDS["loose_id"][0])))
+    if kind == "loose_id":
+        return labelled & F.regexp_like(text, F.lit(KINDS["loose_id"][0]))
+    if kind in ("loose_key", "loose_secret"):
+        partner = F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("://")) | _possible(text, "loose_id")
+        return partner & labelled if kind == "loose_secret" else partner
     return F.regexp_like(text, F.lit(KINDS[kind][0]))
 
 
 def candidate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, kind (number), start, end: every strong span and weak candidate,
-    at least one row for each row of ``docs`` (kind null if it has none).
+    """row, doc_id, key, key_two, kind (number), start, end: every strong span and
+    weak candidate, at least one row for each row of ``docs`` (kind null if it has
+    none).
 
-    Positions are code points, end exclusive.  ``key`` is a hash of id and text.
+    Positions are code points, end exclusive.  The keys are two hashes of the text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     every = F.concat(*(_matches(F.col("text"), kind) for kind in KINDS))
-    exploded = rows.select("row", "doc_id", F.xxhash64("doc_id", "text").alias("key"), F.inline_outer(every))
+    exploded = rows.select("row", "doc_id", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("key_two"), F.inline_outer(every))
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.col("size")).over(before)
     placed = exploded.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     good = F.col("kind").isNotNull() & F.col("ok")
-    return placed.select("row", "doc_id", "key", *(F.when(good, F.col(c)).alias(c) for c in ("kind", "start", "end")))
+    return placed.select("row", "doc_id", "key", "key_two", *(F.when(good, F.col(c)).alias(c) for c in ("kind", "start", "end")))
 
 
 def _role(kind: Column) -> Column:
@@ -134,18 +143,19 @@ def _text(kind: Column, start: Column, end: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, *, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, key, counts of the strong kinds, ``base``
+    """One row per row of ``docs``: doc_id, keys, counts of the strong kinds, ``base``
     and ``spans`` (strong ones, and those with linked weak ones), each an array of
     struct<start, kind, end, name> in order of start and then of kind.
 
     A null or empty text has no spans; a null id stays; rows that repeat are
-    reported each; other columns are ignored; an empty table gives no rows.
+    reported each; a very long text is one row like any other; other columns are
+    ignored; an empty table gives no rows.
     """
     found = keep(candidate_spans(docs, id_col=id_col, text_col=text_col), "secret-spans")
     linked = link_weak(found, scope=scope).select("row", "kind", "start", "end").distinct().withColumn("linked", F.lit(True))
     strong = F.col("kind").isin([_NUMBER[k] for k in KINDS if KINDS[k][4]])
-    rows = found.select("row", "doc_id", "key", F.when(strong, F.col("kind")).alias("kind"), "start", "end", F.lit(True).alias("base"))
-    weak = linked.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), "kind", "start", "end", F.lit(False).alias("base"))
+    rows = found.select("row", "doc_id", "key", "key_two", F.when(strong, F.col("kind")).alias("kind"), "start", "end", F.lit(True).alias("base"))
+    weak = linked.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("key_two"), "kind", "start", "end", F.lit(False).alias("base"))
     span = F.struct("start", "kind", "end", _text(F.col("kind"), F.col("start"), F.col("end")).alias("name"))
     held = F.col("kind").isNotNull()
     return (
@@ -154,6 +164,7 @@ def secret_spans(docs: DataFrame, *, scope: int = SCOPE, id_col: str = "doc_id",
         .agg(
             F.max("doc_id").alias("doc_id"),
             F.max("key").alias("key"),
+            F.max("key_two").alias("key_two"),
             *(F.count(F.when(F.col("kind") == _NUMBER[k], 1)).alias(f"n_{k}") for k in KINDS if KINDS[k][4]),
             F.sort_array(F.collect_list(F.when(held & F.col("base"), span))).alias("base"),
             F.sort_array(F.collect_list(F.when(held, span))).alias("spans"),
@@ -166,23 +177,48 @@ def joined_names(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: s["name"]))
 
 
-def redact(docs: DataFrame, *, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars and others) with each run of overlapping spans
-    replaced by ``mark`` and n_chars counted anew where a text changed."""
-    found = secret_spans(docs, scope=scope).where(F.size("spans") > 0).dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+def redact(docs: DataFrame, *, mark: str = "[SECRET]", scope: int = SCOPE, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with each run of overlapping or touching spans of the text replaced by
+    ``mark``, and ``n_chars``, if there is such a column, counted anew where a text
+    changed.
+
+    What is masked hangs on the text alone, so spans are named by a 128-bit hash of
+    it: rows with null or repeated ids are masked like any other.  Texts stay where
+    they are while the spans are few by count; beyond that only texts that meet a
+    necessary condition of some kind are shuffled to their spans.  A null or empty
+    text stays; all columns stay, whatever their names; an empty table stays empty.
+    """
+    one, two, spans, fresh = (spare_name(docs, c) for c in ("_one", "_two", "_spans", "_new"))
+    text = F.col(text_col)
+    hashes = (F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    named = docs.select(F.monotonically_increasing_id().alias("doc_id"), text.alias("text"))
+    found = secret_spans(named, scope=scope).where(F.size("spans") > 0)
+    bounds = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = found.select(F.col("key").alias(one), F.col("key_two").alias(two), bounds.alias(spans)).dropDuplicates([one, two])
+    found = keep(found, "redactions")
+    few = (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_SPANS
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(done: Column, span: Column) -> Column:
-        """Overlapping and touching spans share one mark."""
-        gap = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
+        gap = F.substring(text, (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
         new = F.when((span["start"] > done["at"]) | (done["out"] == ""), F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"])
         return F.struct(new.alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
 
     def finish(done: Column) -> Column:
-        return F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))
-
-    new = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", start, step, finish)).otherwise(F.col("text"))
-    out = keyed.join(found, "_key", "left").withColumn("_new", new)
-    columns = [F.col("_new").alias("text") if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+        return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+
+    def masked(rows: DataFrame, spans_of: DataFrame) -> DataFrame:
+        joined = rows.withColumns({f"{one}l": hashes[0], f"{two}l": hashes[1]})
+        joined = joined.join(spans_of, (F.col(f"{one}l") == F.col(one)) & (F.col(f"{two}l") == F.col(two)), "left")
+        joined = joined.withColumn(fresh, F.when(F.col(spans).isNotNull(), F.aggregate(spans, start, step, finish)))
+        found_in = F.col(fresh).isNotNull()
+        length = F.when(found_in, F.length(fresh)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType) if length_col in docs.columns else None
+        return joined.select(*(F.coalesce(fresh, text).alias(c) if c == text_col else length.alias(c) if c == length_col else F.col(c) for c in docs.columns))
+
+    if few:
+        return masked(docs, F.broadcast(found))
+    possible = F.lit(False)
+    for kind in KINDS:
+        possible = possible | _possible(text, kind)
+    possible = F.coalesce(possible, F.lit(False))
+    return masked(docs.where(possible), found).unionByName(docs.where(~possible))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import keep
+from tidemark.runtime import keep
 from tidemark.llm.bpe import count_tokens
 
 #: Lengths in one bucket of the two-level sums.
@@ -53,13 +53,30 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, total): tokens left when every text is cut at each limit,
-    for any limits, whether or not a text has that length."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    pairs = asked.join(F.broadcast(asked.select(F.col("context_limit").alias("_same"))), F.col("context_limit") == F.col("_same")).drop("_same").distinct()
-    joined = pairs.join(sums.select("length", "n_docs", "n_tokens"), F.col("length") >= 0, "left")
-    kept = F.least("length", "context_limit") * F.col("n_docs")
-    return joined.groupBy("context_limit").agg(F.coalesce(F.sum(kept), F.lit(0)).alias("total"))
+    """(context_limit, total): tokens left when every text is cut at each limit, for
+    any limits, whether or not a text has that length.
+
+    A limit is looked up in the suffix sums: the least length that reaches it has
+    the same documents at or above it and the same tokens below it.  One partial
+    aggregate serves all limits.  A limit above all lengths leaves all tokens; an
+    empty histogram leaves none; limits that repeat are one.
+    """
+    asked = sorted({int(x) for x in limits})
+    if not asked:
+        return sums.sparkSession.createDataFrame([], "context_limit long, total long")
+    reach = F.struct("length", "docs_at_least", "tokens_below")
+    found = sums.agg(
+        F.max("tokens_at_least").alias("all"),
+        *(F.min(F.when(F.col("length") >= limit, reach)).alias(f"at{i}") for i, limit in enumerate(asked)),
+    )
+    rows = (
+        F.struct(
+            F.lit(limit).cast("long").alias("context_limit"),
+            F.coalesce(F.col(f"at{i}.tokens_below") + F.lit(limit) * F.col(f"at{i}.docs_at_least"), F.col("all"), F.lit(0)).cast("long").alias("total"),
+        )
+        for i, limit in enumerate(asked)
+    )
+    return found.select(F.inline(F.array(*rows)))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:

@@ -1,9 +1,9 @@
 """WARC archives written from and read as a chunked record table.
 
-A payload never travels as one value: it is cut into (record, chunk number) rows
-of at most ``CHUNK`` bytes, which a writer task appends to its archive as they
-come, and a reader task streams an archive back as such rows, carrying the SHA-1
-of the payload so far, so neither holds more than a chunk of a record.
+A payload is cut where it is scanned into (record, chunk number) rows of at most
+``CHUNK`` bytes.  A writer task appends them to its archive as they come, and a
+reader task streams an archive back as such rows; both carry the SHA-1 of the
+payload so far, and neither holds more than a chunk of a record.
 
 Of records with equal payloads the one with the smallest page id is stored as
 response; the others are revisit records that refer to it.
@@ -32,9 +32,11 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import fresh_path, keep, map_arrow
+from tidemark.runtime import fresh_path, keep, map_arrow
 
 CHUNK = 1 << 20
+#: Digests of payloads that repeat are broadcast up to this many (60 bytes each).
+BROADCAST_PAYLOADS = 500_000
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -62,19 +64,26 @@ def chunk_rows(pages: DataFrame, *, min_bytes: int = 0, chunk: int = CHUNK, id_c
 
     A revisit (refers_to not null) has one row without data.  The smallest page id
     of each payload comes from a partial aggregate over digests, and only digests
-    that repeat are joined back.
+    that repeat are joined back: broadcast when few by count, else first to page
+    ids, so that a payload that many pages share is no join key of the payloads.
+    Only chunk numbers are exploded; each row then cuts its own chunk.
     """
-    payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
+    payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
-    again = rows.where((F.col("n_bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha1", "n_bytes").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
-    again = again.where("low < high").select("sha1", "n_bytes", "low")
-    found = rows.join(again, ["sha1", "n_bytes"], "left").withColumn("refers_to", F.when(F.col("low") < F.col("page_id"), F.col("low")))
-    n = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)))
-    none = F.array(F.lit(b""))
-    cut = found.withColumn("parts", F.when(F.col("refers_to").isNull(), parts).otherwise(none)).drop("payload")
-    return cut.select("page_id", "url", "n_bytes", "sha1", "refers_to", F.size("parts").alias("n_chunks"), F.posexplode("parts").alias("chunk_no", "data"))
+    named = rows.where((F.col("n_bytes") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1", "n_bytes")
+    again = named.groupBy("sha1", "n_bytes").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
+    again = keep(again.where("low < high").select("sha1", "n_bytes", "low"), "payloads")
+    if again.count() <= BROADCAST_PAYLOADS:
+        found = rows.join(F.broadcast(again), ["sha1", "n_bytes"], "left")
+    else:
+        revisits = named.join(again, ["sha1", "n_bytes"]).where("low < page_id").distinct()
+        found = rows.join(revisits, ["page_id", "sha1", "n_bytes"], "left")
+    found = found.withColumn("refers_to", F.when(F.col("low") < F.col("page_id"), F.col("low")))
+    n = F.when(F.col("refers_to").isNull(), F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk))).otherwise(1).cast("int")
+    numbered = found.withColumn("n_chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    data = F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    return numbered.select("page_id", "url", "n_bytes", "sha1", "refers_to", "n_chunks", "chunk_no", data.alias("data"))
 
 
 def _heading(page_id: int | None, url: str | None, n_bytes: int, sha1: str, refers_to: int | None) -> bytes:
@@ -101,8 +110,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, **options) -> Da
     """Write every page as a record and return the manifest (path, n_records, n_bytes).
 
     Null html is empty; a null page id is never a revisit nor referred to; rows
-    that repeat an id become records each (equal ones all responses); empty tables
-    write no archive.
+    that repeat an id become records each (equal ones all responses); payloads of
+    any length go chunk by chunk; other columns are ignored; empty tables write no
+    archive.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
@@ -112,15 +122,21 @@ def write_archives(pages: DataFrame, folder: str | None = None, **options) -> Da
         store.create_dir(base, recursive=True)
         name, out, records = f"part-{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            names = [n for n in batch.schema.names if n != "data"]
+            data = batch.column(batch.schema.names.index("data"))
+            for i, row in enumerate(batch.select(names).to_pylist()):
                 if out is None:
                     out = store.open_output_stream(f"{base}/{name}")
                 if row["chunk_no"] == 0:
-                    member = zlib.compressobj(1, wbits=31)
+                    member, so_far = zlib.compressobj(1, wbits=31), hashlib.sha1(usedforsecurity=False)
                     out.write(member.compress(_heading(row["page_id"], row["url"], row["n_bytes"], row["sha1"], row["refers_to"])))
                     records += 1
-                out.write(member.compress(row["data"]))
+                part = data[i].as_buffer()
+                so_far.update(part)
+                out.write(member.compress(part))
                 if row["chunk_no"] == row["n_chunks"] - 1:
+                    if row["refers_to"] is None and so_far.hexdigest() != row["sha1"]:
+                        raise BadArchive(f"page {row['page_id']}: the chunks are not the payload of its digest")
                     out.write(member.compress(b"\r\n\r\n") + member.flush())
         if out is not None:
             size = out.tell()

@@ -9,9 +9,12 @@ with the stack of rules that enclose it, holds every rule that can be active at
 the next url key; those already closed are popped, and the top of the rest is the
 longest for that ancestor.
 
-The sweep is a window over rules and urls together.  It is split into lanes by a
-hash of the row, each with all rules, so that no host is a partition.  Only
-DataFrame functions are used.
+The sweep is a window over rules and urls together.  Keys of one host never lie in
+an interval of another, so it is split by host, and a host's urls are split further
+into as many lanes as its share of all keys calls for, each with that host's rules
+alone: a hot host is spread over the cluster, and a rule is copied only to the
+lanes of its own host.  Keys whose host no rule names open nothing and do not
+travel.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import partitions
+from tidemark.runtime import keep, partitions
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hosts of rules are broadcast up to this many.
+BROADCAST_HOSTS = 200_000
 #: Between labels and path in keys; below every other character.
 _CUT = "\x01"
 
@@ -66,7 +71,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", lanes:
 
     ``rules`` has host, path and verdict.  The longest fitting rule wins (host and
     path together; of equals the one that sorts first), and a url without one has
-    rule null and verdict ``default``.  A null url or one without ``://`` has
+    rule null and verdict ``default``; urls of any length are judged whole.  A null url or one without ``://`` has
     empty host and path and fits no rule; rules without a host fit nothing, of
     rules that repeat a host and path the verdict that sorts first holds; null ids
     and rows that repeat are judged each; other columns are ignored; an empty
@@ -79,16 +84,27 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", lanes:
         F.coalesce(url_host(url), F.lit("")).alias("host"),
         F.coalesce(url_path(url), F.lit("")).alias("path"),
     )
-    n = lanes or max(8, min(256, partitions(pages.sparkSession)))
+    n = lanes or max(8, partitions(pages.sparkSession))
     labels = F.split("host", r"\.", -1)
     ancestors = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(F.reverse(labels), F.lit(1), k), "."))
-    urls = rows.select("row", "page_id", "host", "path", F.explode(ancestors).alias("ancestor"))
-    urls = urls.select("row", "page_id", "host", "path", F.concat("ancestor", F.lit(_CUT), "path").alias("key"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("lane"), F.lit(1).alias("turn"))
-    opened = _stacks(rules).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("turn", F.lit(0))
-    sweep = Window.partitionBy("lane").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stacks = _stacks(rules).withColumn("ancestor", F.substring_index("key", _CUT, 1))
+    hosts = stacks.select("ancestor").distinct()
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    urls = rows.select("row", "page_id", "host", "path", F.explode(ancestors).alias("ancestor")).join(hosts, "ancestor", "left_semi")
+    # How many lanes a host gets: its share of all keys, of n lanes.
+    often = urls.groupBy("ancestor").agg(F.count("*").alias("keys"))
+    often = keep(often, "host-keys")
+    every = often.agg(F.sum("keys")).first()[0] or 1
+    lanes_of = often.select("ancestor", F.greatest(F.lit(1), F.ceil(F.col("keys") * n / F.lit(every))).cast("int").alias("lanes"))
+    lanes_of = F.broadcast(lanes_of) if often.count() <= BROADCAST_HOSTS else lanes_of
+    urls = urls.join(lanes_of, "ancestor").select("row", "page_id", "host", "path", "ancestor", F.concat("ancestor", F.lit(_CUT), "path").alias("key"), F.pmod(F.xxhash64("row"), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("turn"))
+    opened = stacks.join(lanes_of, "ancestor").select("key", "stack", "ancestor", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("turn"))
+    sweep = Window.partitionBy("ancestor", "lane").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = urls.unionByName(opened, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("turn = 1")
     active = F.filter("stack", lambda r: F.startswith(F.col("key"), r["key"]))
     top = F.get(active, F.lit(0))
     found = swept.select("row", "page_id", "host", "path", F.when(top.isNotNull(), F.struct((-F.length(top["rule"])).alias("order"), top["rule"].alias("rule"), top["verdict"].alias("verdict"))).alias("best"))
+    # Urls under no named host have met no rule.
+    found = found.unionByName(rows.select("row", "page_id", "host", "path", F.lit(None).cast(found.schema["best"].dataType).alias("best")))
     best = found.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.min("best").alias("best"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

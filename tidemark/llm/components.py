@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import keep
+from tidemark.runtime import drop, keep
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = keep(_star(_star(edges, True), False), "links")
+        last, edges = edges, keep(_star(_star(edges, True), False), "links")
+        drop(last)
         now = state(edges)
         if now == before:
             break

@@ -12,15 +12,18 @@ are intersected over several orders before any pair is verified:
 * order B, the indexed one: rarest first over *all* tokens of the documents that
   order A left, by their frequency among those, with a size and position filter.
   Common passages stand last and leave the prefixes.
-* orders C and D: two independent hash permutations, tested on a pair's own
-  prefixes before its full sets are compared.
+* orders C and D: two independent hash permutations.  Every node left by order A has
+  a sketch, its two prefixes as 32-bit hashes; a pair must share a token in both
+  before any full set travels to it.
 
 Skew.  Documents with equal sets are collapsed first.  Frequencies are partial
 sums.  A posting list never becomes pairs wholesale: three centres (the member with the
 fewest tokens of its own, and two drawn by hash) are verified against the other
-members, and links contract the list to components.  Only members of *different* components
-are then paired, which keeps the join exact without the square of a group of
-near copies.
+members, and links contract the list to components.  Only members of *different*
+components are then paired, and not by the list's token alone: the key is that
+token together with a token of order C's prefix, which every linked pair shares
+too.  So a list of many dissimilar members is split by what else they hold, and the
+join stays exact without the square of a group of near copies.
 
 Every stage is a shuffle join or a partial aggregate over Parquet tables in the
 shared folder; nothing but counts of fixed size reaches the driver.
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _kernels as K
-from tidemark.llm._scratch import keep, map_arrow
+from tidemark.runtime import drop, keep, map_arrow, spare_name
 from tidemark.llm.components import connected_components
 
 #: The indexed universe holds this multiple of the prefix share of all tokens.
@@ -118,18 +121,20 @@ def _base(spark_docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return map_arrow(spark_docs, run, "rid long, id long, key long, n long, s1 long, s2 long, tokens array<bigint>")
 
 
-def _full_sets(texts: DataFrame, k: int) -> DataFrame:
-    """s1, s2, tokens (all of them)."""
+def _full_sets(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """s1, s2, tokens (all of them), and the sketch: prefixes under orders C and D."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["s1", "s2", "tokens"])
+            longs, ints = pa.int64(), pa.list_(pa.int32())
+            return pa.record_batch([pa.array([r[0] for r in rows], longs), pa.array([r[1] for r in rows], longs), pa.array([r[2].tobytes() for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], ints) for i in (3, 4))], names=["s1", "s2", "tokens", "c", "d"])
 
         for _, _, tokens in _sets(batches, k):
-            rows.append((*_signature(tokens), tokens))
+            prefixes = (_permuted_prefix(tokens, factor, prefix_length(len(tokens), num, den)) for factor in ORDERS) if len(tokens) else ((), ())
+            rows.append((*_signature(tokens), tokens, *prefixes))
             size += len(tokens) + 8
             if size > 200_000:
                 yield out()
@@ -137,14 +142,15 @@ def _full_sets(texts: DataFrame, k: int) -> DataFrame:
         if rows:
             yield out()
 
-    return map_arrow(texts, run, "s1 long, s2 long, tokens binary")
+    return map_arrow(texts, run, "s1 long, s2 long, tokens binary, c array<int>, d array<int>")
 
 
 def _permuted_prefix(tokens: np.ndarray, factor: int, length: int) -> np.ndarray:
-    """The first tokens under another hash order."""
+    """The first tokens under another hash order, as 32 bits of that hash."""
     with np.errstate(over="ignore"):
         ranks = K.mix(tokens * np.uint64(factor))
-    return np.partition(ranks, length - 1)[:length] if length < len(ranks) else ranks
+    first = np.partition(ranks, length - 1)[:length] if length < len(ranks) else ranks
+    return np.unique(first.astype(np.uint32).view(np.int32))
 
 
 #: Orders C and D, as odd multipliers before the finaliser.
@@ -152,21 +158,19 @@ ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Orders C and D, then the exact test on two sorted sets."""
+    """The exact test on two sorted sets."""
     a, b = len(x), len(y)
     if den * min(a, b) < num * max(a, b):
         return False
-    for factor in ORDERS:
-        p = _permuted_prefix(x, factor, prefix_length(a, num, den))
-        q = _permuted_prefix(y, factor, prefix_length(b, num, den))
-        if not len(np.intersect1d(p, q, assume_unique=True)):
-            return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return den * both >= num * (a + b - both)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b) that link: first by their sketches, then by their sets."""
+    sketches = [sets.select(F.col("node").alias(x), F.col("c").alias(f"c{x}"), F.col("d").alias(f"d{x}")) for x in "ab"]
+    drawn = pairs.select("a", "b").join(sketches[0], "a").join(sketches[1], "b")
+    drawn = drawn.where(F.arrays_overlap("ca", "cb") & F.arrays_overlap("da", "db")).select("a", "b")
     one, two = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"set_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +179,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             good = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), num, den) for i in range(batch.num_rows)]
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    found = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+    found = drawn.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
     return map_arrow(found, run, "a long, b long")
 
 
@@ -235,7 +239,6 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 1
     there is none); ids that repeat with other texts are other documents; other
     columns of ``docs`` are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     base = keep(_base(rows.select("id", "key", "text"), k, num, den), "ngram-base")
 
@@ -267,8 +270,8 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 1
     keys = keep(active.join(meta, "node").select("node", "key", "s1", "s2"), "ngram-active")
     wanted = keys.select("key").distinct()
     wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_KEYS else wanted
-    sets = _full_sets(rows.join(wanted, "key", "left_semi").select("text"), k).dropDuplicates(["s1", "s2"])
-    sets = keep(sets.join(keys.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "tokens"), "ngram-sets")
+    sets = _full_sets(rows.join(wanted, "key", "left_semi").select("text"), k, num, den).dropDuplicates(["s1", "s2"])
+    sets = keep(sets.join(keys.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "tokens", "c", "d"), "ngram-sets")
 
     # Order B: frequencies among the nodes that order A left, over all their tokens.
     index = keep(_index_b(sets, num, den), "ngram-index")
@@ -292,11 +295,11 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 1
     )
     placed = keep(placed, "ngram-placed")
     open_lists = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    rest = placed.join(open_lists, "h", "left_semi")
-    left, right = (rest.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    rest = placed.join(open_lists, "h", "left_semi").join(sets.select("node", F.explode("c").alias("c")), "node")
+    left, right = (rest.select("h", "c", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"k{x}")) for x in "ab")
     crossing = (
-        left.join(right, "h")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _can_link("na", "nb", "pa", "pb", num, den))
+        left.join(right, ["h", "c"])
+        .where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & _can_link("na", "nb", "pa", "pb", num, den))
         .select("a", "b")
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
@@ -308,8 +311,9 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 1
 
     grouped = heads.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = grouped.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n_linked"))
-    named = grouped.join(lows, "component").select("s1", "s2", "component_id", "n_linked", "copies")
-    return _attach(base, keep(named, "ngram-named"))
+    named = keep(grouped.join(lows, "component").select("s1", "s2", "component_id", "n_linked", "copies"), "ngram-named")
+    drop(lists_a, keys, sets, index, stars, placed, crossing, more)
+    return _attach(base, named)
 
 
 def _attach(base: DataFrame, named: DataFrame) -> DataFrame:
@@ -328,9 +332,13 @@ def _attach(base: DataFrame, named: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents whose id is the smallest of its component.
 
-    Rows with a null id stay (nothing can name them).  Ids are taken to be
-    unique; rows that repeat an id stay or go together.
+    Rows with a null id stay (nothing can name them), as do wordless texts.  Ids are
+    taken to be unique; rows that repeat an id stay or go together.  The ids to drop
+    are broadcast when they are few by count, else joined in a shuffle.  Columns may
+    have any names; an empty table stays empty.
     """
+    name = spare_name(docs, "_gone")
     found = ngram_components(docs, **options)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = keep(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "ngram-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

@@ -23,7 +23,8 @@ def varint_length(n: Column) -> Column:
     """Bytes of a non-negative long as a base-128 varint."""
     out = F.lit(10)
     for size in range(9, 0, -1):
-        out = F.when(n < F.lit(1 << (7 * size) if size < 9 else (1 << 63) - 1), F.lit(size)).otherwise(out)
+        # 9 bytes hold 63 bits: every non-negative long.
+        out = F.when(n <= F.lit((1 << 7 * size) - 1), F.lit(size)).otherwise(out)
     return out.cast("long")
 
 
@@ -194,6 +195,24 @@ def parse_file_name(name: str) -> tuple[str, int] | None:
     return found if found[1] < 1 << 64 else None
 
 
+def file_name_columns(name: Column) -> Column:
+    """:func:`parse_file_name` as an expression: struct<kind, number>, null for any
+    other name and for a number that passes 64 bits.  The number is a decimal."""
+    digits = F.regexp_extract(name, r"^(?:MANIFEST-)?0*([0-9]+)(?:\.(?:log|sst|ldb|dbtmp))?$", 1)
+    number = F.when(F.length(digits) <= 20, digits.cast("decimal(20,0)"))
+    kind = (
+        F.when(name.isin("CURRENT", "LOCK"), F.lower(name))
+        .when(name.isin("LOG", "LOG.old"), "info")
+        .when(name.rlike(r"^MANIFEST-[0-9]+$"), "manifest")
+        .when(name.rlike(r"^[0-9]+\.log$"), "log")
+        .when(name.rlike(r"^[0-9]+\.dbtmp$"), "temp")
+        .when(name.rlike(r"^[0-9]+\.(sst|ldb)$"), "table")
+    )
+    zero = F.lit(0).cast("decimal(20,0)")
+    fits = F.when(digits == "", zero).otherwise(number)
+    return F.when(kind.isNotNull() & (fits <= F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")), F.struct(kind.alias("kind"), fits.alias("number")))
+
+
 def file_name(kind: str, number: int = 0) -> str:
     shapes = {"log": "{:06d}.log", "table": "{:06d}.ldb", "old_table": "{:06d}.sst", "temp": "{:06d}.dbtmp", "manifest": "MANIFEST-{:06d}", "current": "CURRENT", "lock": "LOCK", "info": "LOG", "old_info": "LOG.old"}
     return shapes[kind].format(number)

@@ -5,9 +5,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.runtime import partitions
+
 LEVELS, L0_TRIGGER, SLOW_AT, STOP_AT = 7, 4, 8, 12
 FIRST_LIMIT, GROWTH = 10 * (1 << 20), 10
 MAX_FILE, MAX_OUTPUT_LEVEL = 2 << 20, 2
@@ -50,30 +54,56 @@ def overlaps(smallest: Column, largest: Column, low: Column, high: Column) -> Co
     return (low.isNull() | (largest >= low)) & (high.isNull() | (smallest <= high))
 
 
+def _sweep(marks: DataFrame, asked: DataFrame, carry: dict[str, Callable[[Column], Column]], *, following: bool = False) -> DataFrame:
+    """Each row of ``asked`` with what the marks before it (or, ``following``, from it
+    on) add up to: a merged order of both, not a range join.
+
+    Both have ``at``, and ``turn`` for the order of equals.  ``carry`` names columns
+    of ``marks`` and how a window folds them.  Asked rows are dealt to lanes by a
+    hash, and the marks, which are metadata of files, stand in every lane.
+    """
+    lanes = partitions(asked.sparkSession)
+    spread = asked.withColumn("lane", F.pmod(F.xxhash64(*asked.columns), F.lit(lanes)).cast("int")).withColumn("asked", F.lit(True))
+    every = marks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    order = Window.partitionBy("lane").orderBy("at", "turn")
+    frame = order.rowsBetween(Window.currentRow, Window.unboundedFollowing) if following else order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = spread.unionByName(every, allowMissingColumns=True)
+    return both.select(*asked.columns, "asked", *(fold(F.col(c)).over(frame).alias(c) for c, fold in carry.items())).where("asked").drop("asked")
+
+
 def find_file(files: DataFrame, keys: DataFrame) -> DataFrame:
     """For each key the first file of a sorted disjoint level whose largest >= key
-    (null beyond the last): a merged order of bounds and keys, not a range join."""
-    ends = files.select(F.col("largest").alias("at"), F.lit(1).alias("turn"), F.col("number"), F.lit(None).cast("string").alias("user_key"))
-    asked = keys.select(F.col("user_key").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("number"), "user_key")
-    lanes = 64
-    spread = asked.withColumn("lane", F.pmod(F.xxhash64("user_key"), F.lit(lanes)))
-    every = ends.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    from_here = Window.partitionBy("lane").orderBy("at", "turn").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return spread.unionByName(every).withColumn("number", F.first("number", ignorenulls=True).over(from_here)).where("turn = 0").select("user_key", "number")
+    (null beyond the last)."""
+    ends = files.select(F.col("largest").alias("at"), F.lit(1).alias("turn"), "number")
+    asked = keys.select(F.col("user_key").alias("at"), F.lit(0).alias("turn"), "user_key")
+    return _sweep(ends, asked, {"number": lambda n: F.first(n, ignorenulls=True)}, following=True).select("user_key", "number")
 
 
 def overlap_exists(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """low, high (null is unbounded) with whether any file overlaps.  Files are
-    metadata, far fewer than keys; ranges are the streamed side."""
-    hit = ranges.join(files, overlaps(F.col("smallest"), F.col("largest"), F.col("low"), F.col("high")), "left_semi")
-    found = hit.select(F.col("low").alias("_low"), F.col("high").alias("_high"), F.lit(True).alias("hit")).distinct()
-    same = F.col("low").eqNullSafe(F.col("_low")) & F.col("high").eqNullSafe(F.col("_high"))
-    return ranges.join(found, same, "left").select("low", "high", F.coalesce("hit", F.lit(False)).alias("overlaps"))
+    """low, high (null is unbounded) with whether any file overlaps: of the files
+    that start at or before high, the greatest end reaches low."""
+    starts = files.select(F.struct(F.lit(0).alias("open"), F.col("smallest").alias("key")).alias("at"), F.lit(0).alias("turn"), F.col("largest").alias("reach"))
+    asked = ranges.select(F.struct(F.col("high").isNull().cast("int").alias("open"), F.col("high").alias("key")).alias("at"), F.lit(1).alias("turn"), "low", "high")
+    found = _sweep(starts, asked, {"reach": F.max})
+    return found.select("low", "high", F.coalesce(F.col("reach").isNotNull() & (F.col("low").isNull() | (F.col("reach") >= F.col("low"))), F.lit(False)).alias("overlaps"))
 
 
 def candidate_files(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """Files that may hold each key in search order: level, then newest first."""
-    found = keys.join(files, (F.col("user_key") >= F.col("smallest")) & (F.col("user_key") <= F.col("largest")))
+    """Files that may hold each key in search order: level, then newest first.
+
+    File starts cut the keys into segments.  A file covers the segments from its own
+    start to the last one at or before its end, a key lies in one segment, and the
+    two meet by an equal segment: what is made is bounded by the overlaps of files.
+    """
+    starts = files.select(F.col("smallest").alias("key")).distinct()
+    numbered = starts.withColumn("segment", F.row_number().over(Window.orderBy("key")))
+    marks = numbered.select(F.col("key").alias("at"), F.lit(0).alias("turn"), "segment")
+    last = {"segment": F.max}
+    ends = _sweep(marks, files.select(F.col("largest").alias("at"), F.lit(1).alias("turn"), "level", "number", "smallest", "largest"), last)
+    ends = ends.withColumnRenamed("segment", "to").join(numbered.select(F.col("key").alias("smallest"), F.col("segment").alias("from")), "smallest")
+    covers = ends.where("from <= to").select("level", "number", "largest", F.explode(F.sequence("from", "to")).alias("segment"))
+    placed = _sweep(marks, keys.select(F.col("user_key").alias("at"), F.lit(1).alias("turn"), "user_key"), last).where("segment is not null")
+    found = placed.select("user_key", "segment").join(covers, "segment").where(F.col("user_key") <= F.col("largest"))
     order = Window.partitionBy("user_key").orderBy("level", F.desc("number"))
     return found.select("user_key", "level", "number", F.row_number().over(order).cast("long").alias("turn"))
 
@@ -88,18 +118,58 @@ def overlap_islands(files: DataFrame) -> DataFrame:
     return starts.select("level", "number", F.sum("_new").over(upto).alias("island"))
 
 
+def overlapping_inputs(files: DataFrame, level: int, low: str | bytes | None = None, high: str | bytes | None = None) -> DataFrame:
+    """The files of a level that a compaction of [low, high] (None is unbounded) takes
+    in.  At level 0, where files overlap each other, a file that reaches out widens
+    the range until nothing more overlaps: whole islands are taken."""
+    own = files.where(F.col("level") == level)
+    meets = overlaps(F.col("smallest"), F.col("largest"), F.lit(low), F.lit(high))
+    if level:
+        return own.where(meets)
+    islands = overlap_islands(own).select("number", "island")
+    placed = own.join(islands, "number")
+    taken = placed.groupBy("island").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest")).where(meets).select("island")
+    return placed.join(taken, "island", "left_semi").select(*files.columns)
+
+
 def output_level(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """range_id, low, high to the deepest level (at most 2) a flushed memtable of
     that range may go to: no overlap at level 0 nor at the next level, and at most
-    ten file sizes of overlap at the level after it."""
-    hit = ranges.join(files, overlaps(F.col("smallest"), F.col("largest"), F.col("low"), F.col("high")), "left")
-    per = hit.groupBy("range_id").agg(*(F.count(F.when(F.col("level") == n, 1)).alias(f"n{n}") for n in range(MAX_OUTPUT_LEVEL + 1)), *(F.coalesce(F.sum(F.when(F.col("level") == n, F.col("file_size"))), F.lit(0)).alias(f"b{n}") for n in range(2, MAX_OUTPUT_LEVEL + 2)))
+    ten file sizes of overlap at the level after it.
+
+    Files that overlap are those that start at or before high less those that end
+    before low; both are running sums by level.
+    """
+    names = [f"n{n}" for n in range(MAX_OUTPUT_LEVEL + 1)] + [f"b{n}" for n in range(2, MAX_OUTPUT_LEVEL + 2)]
+    of = {c: F.when(F.col("level") == int(c[1:]), F.lit(1).cast("long") if c[0] == "n" else F.col("file_size").cast("long")) for c in names}
+
+    def upto(bound: str, query: str, turn: int) -> DataFrame:
+        marks = files.select(F.col(bound).alias("at"), F.lit(0).alias("turn"), *(x.alias(c) for c, x in of.items()))
+        return _sweep(marks, ranges.select(F.col(query).alias("at"), F.lit(turn).alias("turn"), "range_id"), dict.fromkeys(names, F.sum))
+
+    # An open high has every file at or before it; at an open low nothing ends before.
+    begun = upto("smallest", "high", 1).select("range_id", "at", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names))
+    whole = files.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(f"all_{c}") for c, x in of.items()))
+    open_high = ranges.where("high is null").select("range_id")
+    totals = whole.first()
+    begun = begun.join(open_high.withColumn("open", F.lit(True)), "range_id", "left")
+    begun = begun.select("range_id", *(F.when(F.col("open"), F.lit(totals[f"all_{c}"])).otherwise(F.col(c)).alias(c) for c in names))
+    ended = upto("largest", "low", -1).select("range_id", *(F.when(F.col("at").isNull(), F.lit(0)).otherwise(F.coalesce(F.col(c), F.lit(0))).alias(f"before_{c}") for c in names))
+    per = begun.join(ended, "range_id").select("range_id", *((F.col(c) - F.col(f"before_{c}")).alias(c) for c in names))
     small = F.lit(GROWTH * MAX_FILE)
     one = (F.col("n0") == 0) & (F.col("n1") == 0) & (F.col("b2") <= small)
     two = one & (F.col("n2") == 0) & (F.col("b3") <= small)
     return per.select("range_id", F.when(two, 2).when(one, 1).otherwise(0).cast("long").alias("level"))
 
 
+def need_compaction(files: DataFrame, seeks: DataFrame) -> DataFrame:
+    """level, number (null for a whole level), reason: levels whose score reaches 1,
+    and files whose seeks (number, seeks) used up their budget."""
+    full = compaction_score(files).where("needs_compaction").select("level", F.lit(None).cast("long").alias("number"), F.lit("score").alias("reason"))
+    spent = files.select("level", "number").join(seek_budget(files).join(seeks, "number").where("seeks >= allowed_seeks").select("number"), "number", "left_semi")
+    return full.unionByName(spent.select("level", "number", F.lit("seeks").alias("reason")))
+
+
 def level_index(files: DataFrame) -> DataFrame:
     order = Window.partitionBy("level").orderBy("largest", "number")
     return files.select("level", "largest", "number", "file_size", F.row_number().over(order).cast("long").alias("position"))

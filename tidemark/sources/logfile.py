@@ -6,16 +6,19 @@ A fragment is u32 crc32(type, data), u16 length, u8 type (full 1, first 2, middl
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.codec import Corruption
 from tidemark.operators import batches
-from tidemark.runtime import ship
+from tidemark.runtime import fresh_path, keep, map_arrow, ship
 
 BLOCK, HEADER = 32768, 7
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
@@ -104,10 +107,35 @@ def read_records(data: bytes, report: Report | None = None) -> Iterator[bytes]:
             held = None
 
 
-def read_log_files(spark: SparkSession, path: str) -> DataFrame:
+def lost_bytes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, dropped and reason: what of each log could not be read; a log without a
+    good record is reported like any other."""
+    ship(spark)
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(frames):
+        import pandas as pd
+
+        for frame_ in frames:
+            rows = []
+            for file, content in zip(frame_["path"], frame_["content"]):
+                report = Report()
+                for record in read_records(content, report):
+                    try:
+                        for _ in batches.decode(record):
+                            pass
+                    except Corruption as e:
+                        report(len(record), str(e))
+                rows.extend((file, n, why) for n, why in report.dropped)
+            yield pd.DataFrame(rows, columns=["file", "dropped", "reason"])
+
+    return raw.mapInPandas(run, "file string, dropped long, reason string").withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+def read_log_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Change log (user_key, seq, vtype, value as binary; file; dropped bytes) of
     binary logs whose records are write batches.  Batches under 12 bytes and what
-    follows an error within one are skipped."""
+    follows an error within one are skipped; :func:`lost_bytes` tells of each."""
     ship(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -126,3 +154,42 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "user_key", "seq", "vtype", "value", "dropped"])
 
     return raw.mapInPandas(run, "file string, user_key binary, seq long, vtype long, value binary, dropped long").withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+def write_log_files(batches_: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write batches (log, base_seq, ops: array of struct<vtype, user_key, value>) as
+    one framed log for each ``log`` number, in order of base_seq; the manifest: log,
+    path, n_records and n_bytes.  A log is written by one task as its rows come."""
+    spark = batches_.sparkSession
+    folder = folder or fresh_path(spark, "logs")
+    ordered = batches_.select("log", "base_seq", "ops").repartition("log").sortWithinPartitions("log", "base_seq")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        current, out, path, n = None, None, "", 0
+
+        def done() -> pa.RecordBatch:
+            size = out.tell()
+            out.close()
+            return pa.record_batch([pa.array([x], t) for x, t in ((current, pa.int64()), (path, pa.string()), (n, pa.int64()), (size, pa.int64()))], names=["log", "path", "n_records", "n_bytes"])
+
+        for part in parts:
+            for log, base_seq, ops in zip(*(c.to_pylist() for c in part.columns)):
+                if log != current:
+                    if out is not None:
+                        yield done()
+                    current, n = log, 0
+                    path = f"{folder}/{uuid.uuid4().hex}.log"
+                    out = store.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}")
+                plain = [(o["vtype"], _bytes(o["user_key"]), None if o["value"] is None else _bytes(o["value"])) for o in ops]
+                out.write(frame([batches.encode(base_seq, plain)], out.tell()))
+                n += 1
+        if out is not None:
+            yield done()
+
+    return keep(map_arrow(ordered, run, "log long, path string, n_records long, n_bytes long"), "log-manifest")
+
+
+def _bytes(x: str | bytes) -> bytes:
+    return x.encode() if isinstance(x, str) else bytes(x)

@@ -16,6 +16,8 @@ from tidemark.runtime import ship
 
 RESTART, BLOCK, FILTER_LG = 16, 4096, 11
 FILTER_SEED, BITS_PER_KEY = 0xBC9F1D34, 10
+#: Bits of one word of a filter column.
+WORD = 32
 #: Log framing.
 LOG_BLOCK, LOG_HEADER = 32768, 7
 
@@ -132,21 +134,37 @@ def bit_positions(hash_: Column, bits: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (hash_ + i.cast("long") * step) % bits)
 
 
-def bloom_bits(run: DataFrame, key_length: int, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
-    """file, n_bits, bit: the distinct set bits of each file's filter over user keys."""
+def bloom_words(run: DataFrame, key_length: int, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+    """file, n_bits, words: each file's filter over user keys as 32-bit words.
+
+    A key's bits become (word, bits) pairs that are or-ed within tasks before they
+    are shuffled, so a file sends at most its filter's words from each task."""
     counts = run.groupBy("file").agg(bit_count(F.count("*"), bits_per_key).alias("n_bits"))
     hashed = run.select("file", byte_hash_column(F.col("user_key"), key_length, FILTER_SEED).alias("h")).join(counts, "file")
-    return hashed.select("file", "n_bits", F.explode(bit_positions(F.col("h"), F.col("n_bits"), probe_count(bits_per_key))).alias("bit")).distinct()
+    bits = hashed.select("file", "n_bits", F.explode(bit_positions(F.col("h"), F.col("n_bits"), probe_count(bits_per_key))).alias("bit"))
+    some = bits.select("file", "n_bits", F.floor(F.col("bit") / WORD).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % WORD).cast("int")).alias("bits"))
+    # Every word of a filter is there, set or not.
+    blank = counts.select("file", "n_bits", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bits") - 1) / WORD))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = some.unionByName(blank).groupBy("file", "n_bits", "word").agg(F.bit_or("bits").alias("bits"))
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])
+    return words.groupBy("file", "n_bits").agg(packed.alias("words"))
+
+
+def bloom_bits(run: DataFrame, key_length: int, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+    """file, n_bits, bit: the set bits of each file's filter."""
+    words = bloom_words(run, key_length, bits_per_key).select("file", "n_bits", F.posexplode("words").alias("word", "bits"))
+    each = words.select("file", "n_bits", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))).alias("at"))
+    return each.where(F.call_function("getbit", "bits", "at") == 1).select("file", "n_bits", (F.col("word").cast("long") * WORD + F.col("at")).alias("bit"))
 
 
 def bloom_probe(filters: DataFrame, probes: DataFrame, key_length: int, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
-    """file, user_key to whether the file's filter may hold the key: all its bits set."""
-    sizes = filters.select("file", "n_bits").distinct()
+    """file, user_key to whether the file's filter (of :func:`bloom_words`) may hold
+    the key: all its bits set.  One join by file; bits are tested in its row."""
     k = probe_count(bits_per_key)
-    hashed = probes.select("file", "user_key", byte_hash_column(F.col("user_key"), key_length, FILTER_SEED).alias("h")).join(sizes, "file")
-    asked = hashed.select("file", "user_key", F.explode(F.array_distinct(bit_positions(F.col("h"), F.col("n_bits"), k))).alias("bit"))
-    found = asked.join(filters.select("file", "bit", F.lit(1).alias("set")), ["file", "bit"], "left")
-    return found.groupBy("file", "user_key").agg((F.count("*") == F.count("set")).alias("may_match"))
+    hashed = probes.select("file", "user_key", byte_hash_column(F.col("user_key"), key_length, FILTER_SEED).alias("h")).distinct().join(filters, "file")
+    word = lambda at: F.get(F.col("words"), F.floor(at / WORD).cast("int"))
+    held = F.forall(bit_positions(F.col("h"), F.col("n_bits"), k), lambda at: F.call_function("getbit", word(at), (at % WORD).cast("int")) == 1)
+    return hashed.select("file", "user_key", held.alias("may_match"))
 
 
 def filter_groups(offsets: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ the newest version is picked, the tombstone test after it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tidemark.runtime import keep
+from tidemark.runtime import keep, spare_name
 
 
 def newest(log: DataFrame, snapshot: int | None = None, *, keys: list[str] | None = None) -> DataFrame:
@@ -61,18 +63,21 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "position") -
 
     A range sort is written with its partition and place; partition sizes (as many
     rows as partitions) are summed up and added."""
-    placed = keep(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_place") + 1).select(*df.columns, name)
+    at, part, place, n, start = (spare_name(df, c) for c in ("_at", "_part", "_place", "_n", "_start"))
+    placed = keep(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn(part, F.shiftright(at, 33)).withColumn(place, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy(part).agg(F.count("*").alias(n))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    # As many rows as partitions.
+    return placed.join(F.broadcast(starts), part).withColumn(name, F.col(start) + F.col(place) + 1).select(*df.columns, name)
 
 
-def scan(log: DataFrame, snapshot: int | None = None, *, backward: bool = False) -> DataFrame:
-    """Visible rows in key order with their position from 1."""
-    order = F.col("user_key").desc() if backward else F.col("user_key").asc()
-    return with_position(snapshot_read(log, snapshot), order)
+def scan(log: DataFrame, snapshot: int | None = None, *, backward: bool = False, sort_key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Visible rows in key order with their position from 1.  ``sort_key`` is another
+    comparator: keys are in the order of what it makes of them."""
+    key = (sort_key or (lambda k: k))(F.col("user_key"))
+    return with_position(snapshot_read(log, snapshot), key.desc() if backward else key.asc())
 
 
 def seek(visible: DataFrame, target: str | bytes) -> DataFrame:
@@ -140,12 +145,14 @@ def compact(log: DataFrame, snapshots: list[int], *, bottom: bool = True) -> Dat
     older kept below it goes too, as no deeper run can hold what it hides."""
     bounds = sorted(set(snapshots))
     rank = sum((F.when(F.col("seq") > s, 1).otherwise(0) for s in bounds), F.lit(0))
-    order = Window.partitionBy("user_key", "band").orderBy(F.desc("seq"))
-    kept = log.withColumn("band", rank).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    band = spare_name(log, "band")
+    # At most one version for each key and snapshot leaves a task.
+    kept = newest(log.withColumn(band, rank), keys=["user_key", band]).select(*log.columns)
     if not bottom:
-        return kept.drop("band")
+        return kept
+    below = spare_name(log, "_below")
     older = Window.partitionBy("user_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return kept.withColumn("_below", F.max(F.when(F.col("vtype") == 1, 1)).over(older)).where("vtype = 1 or _below is not null").drop("band", "_below")
+    return kept.withColumn(below, F.max(F.when(F.col("vtype") == 1, 1)).over(older)).where((F.col("vtype") == 1) | F.col(below).isNotNull()).drop(below)
 
 
 def duplicate_versions(log: DataFrame) -> DataFrame:
@@ -156,3 +163,60 @@ def duplicate_versions(log: DataFrame) -> DataFrame:
 def distinct_sorted(log: DataFrame) -> DataFrame:
     """First value (by seq) of each key, in a position of the key order."""
     return with_position(log.groupBy("user_key").agg(F.min_by("value", "seq").alias("value")), "user_key")
+
+
+class Cursor:
+    """A place among visible rows: first, last, seek, next and prev move it.
+
+    Each move is a top-1 query over the key bound (never a sort of the table);
+    for long runs of moves, scan a range.  An error of a move is kept as ``status``
+    and leaves the cursor invalid.
+    """
+
+    def __init__(self, visible: DataFrame) -> None:
+        self.visible, self.row, self.status = visible, None, None
+
+    def _move(self, found: DataFrame) -> bool:
+        try:
+            self.row = found.first()
+        except Exception as e:  # kept, as a scan goes on where it can
+            self.row, self.status = None, e
+        return self.valid
+
+    @property
+    def valid(self) -> bool:
+        return self.row is not None
+
+    @property
+    def key(self) -> str | bytes:
+        return self._at().user_key
+
+    @property
+    def value(self) -> str | bytes:
+        return self._at().value
+
+    def _at(self) -> Row:
+        if self.row is None:
+            raise ValueError("the cursor is not at a row")
+        return self.row
+
+    def first(self) -> bool:
+        return self._move(self.visible.orderBy("user_key").limit(1))
+
+    def last(self) -> bool:
+        return self._move(self.visible.orderBy(F.desc("user_key")).limit(1))
+
+    def seek(self, target: str | bytes) -> bool:
+        """To the first key >= target."""
+        return self._move(seek(self.visible, target))
+
+    def next(self) -> bool:
+        return self._move(self.visible.where(F.col("user_key") > F.lit(self.key)).orderBy("user_key").limit(1))
+
+    def prev(self) -> bool:
+        return self._move(seek_before(self.visible, self.key))
+
+    def __iter__(self) -> Iterator[Row]:
+        """Rows from here on, a partition at a time."""
+        if self.valid:
+            yield from self.visible.where(F.col("user_key") >= F.lit(self.key)).orderBy("user_key").toLocalIterator()

@@ -23,8 +23,12 @@ class StoreIOError(StoreError, OSError):
     """Storage failed."""
 
 
+class Busy(StoreError):
+    """Another writer is at work."""
+
+
 class Closed(StoreError):
     """The store was closed, or stopped by an earlier error."""
 
 
-__all__ = ["Closed", "Corruption", "InvalidArgument", "NotFound", "NotSupported", "StoreError", "StoreIOError"]
+__all__ = ["Busy", "Closed", "Corruption", "InvalidArgument", "NotFound", "NotSupported", "StoreError", "StoreIOError"]

@@ -1,8 +1,11 @@
 """Change logs as streams.
 
-Ingest appends micro-batches to a table idempotently: a (user_key, seq) that the
-table already holds is dropped, so a replayed batch changes nothing.  The newest
-version per key is kept as a stateful aggregate over the stream.
+Ingest appends micro-batches to a table idempotently.  A commit carries the stream's
+name and the batch's number, and a batch that the manifest has is skipped.  Of other
+batches, versions above the table's last sequence are new without a look; only late
+ones are held against the table's versions of their range of sequences, so a replay
+under another name changes nothing either.  The newest version per key is kept as a
+stateful aggregate over the stream.
 """
 
 from __future__ import annotations
@@ -14,16 +17,32 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.table import KVTable
 
 
-def append_batch(table: KVTable, batch: DataFrame) -> int:
-    """Append what is new of one micro-batch."""
-    fresh = batch.dropDuplicates(["user_key", "seq"]).join(table.log().select("user_key", "seq"), ["user_key", "seq"], "left_anti")
-    return table.last_sequence() if fresh.isEmpty() else table.append_versions(fresh)
+def append_batch(table: KVTable, batch: DataFrame, source: str | None = None, batch_id: int | None = None) -> int:
+    """Append what is new of one micro-batch, unless the table has that batch."""
+    rows = batch.dropDuplicates(["user_key", "seq"])
+    last = table.last_sequence()
+    low, high, above = rows.agg(F.min(F.when(F.col("seq") <= last, F.col("seq"))), F.max(F.when(F.col("seq") <= last, F.col("seq"))), F.count(F.when(F.col("seq") > last, 1))).first()
+    if low is not None:
+        held = table.log().where(F.col("seq").between(low, high)).select("user_key", "seq")
+        fresh = rows.where(F.col("seq") <= last).join(held, ["user_key", "seq"], "left_anti")
+        if not above and fresh.isEmpty():
+            return last
+        rows = fresh.unionByName(rows.where(F.col("seq") > last))
+    elif not above:
+        return last
+    return table.append_versions(rows, source=source, batch=batch_id)
 
 
-def ingest(stream: DataFrame, table: KVTable, checkpoint: str, *, once: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, table: KVTable, checkpoint: str, *, once: bool = True, source: str | None = None) -> StreamingQuery:
     """Write a streaming change log to a table.  ``once`` drains what is there and
-    ends; else micro-batches go on, and the source's rate limits hold back writers."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append_batch(table, batch) and None)
+    ends; else micro-batches go on, and the source's rate limits hold back writers.
+    ``source`` names the stream in commits (by default its checkpoint folder)."""
+    name = source or checkpoint
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_batch(table, batch, name, batch_id)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 

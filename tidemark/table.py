@@ -5,6 +5,10 @@ sorted by key so that key filters prune files and row groups.  Edits are appende
 to a manifest of small Parquet commits: each adds or removes data folders and
 states the last sequence, and what is current is the fold of the edits (latest
 action wins).  A commit is visible once its edit is written.
+
+One writer at a time: a commit's number is claimed by creating a file before the
+last sequence is read, and a claim that another writer holds is an error.  A
+compaction folds the manifest into one commit and deletes those before it.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.errors import Closed, InvalidArgument, NotFound, StoreIOError
+from tidemark.errors import Busy, Closed, InvalidArgument, NotFound, StoreIOError
 from tidemark.operators import reads
 
 LOG = "user_key {kind}, seq long, vtype long, value {kind}"
-EDIT = "edit_id long, action string, level long, folder string, last_seq long, n_rows long"
+EDIT = "edit_id long, action string, level long, folder string, last_seq long, n_rows long, source string, batch long"
 
 
 @dataclass
@@ -53,6 +57,24 @@ class KVTable:
                 raise NotFound(path)
             self._publish([("none", 0, "", 0, 0)], 0)
 
+    def _file(self, name: str):
+        """A path of this table and its file system."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _claim(self) -> int:
+        """The next edit's number, for this writer alone until it is published."""
+        edit = self._next_edit()
+        where, store = self._file(f"claims/{edit:012d}")
+        if not store.createNewFile(where):
+            raise Busy(f"another writer holds edit {edit} of {self.path}")
+        return edit
+
+    def release(self) -> None:
+        """Give up the claim of a writer that died before it published."""
+        where, store = self._file(f"claims/{self._next_edit():012d}")
+        store.delete(where, False)
+
     def _edits(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(EDIT).parquet(f"{self.path}/manifest/*")
@@ -61,8 +83,8 @@ class KVTable:
                 return None
             raise
 
-    def _publish(self, edits: list[tuple[str, int, str, int, int]], edit_id: int) -> None:
-        rows = [(edit_id, action, level, folder, seq, n) for action, level, folder, seq, n in edits]
+    def _publish(self, edits: list[tuple], edit_id: int) -> None:
+        rows = [(edit_id, *edit, *(None,) * (7 - len(edit))) for edit in edits]
         self.spark.createDataFrame(rows, EDIT).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/{edit_id:012d}")
 
     def _open(self) -> DataFrame:
@@ -108,22 +130,38 @@ class KVTable:
     def write(self, ops: DataFrame) -> int:
         """Append ops (vtype, user_key, value, and ``pos`` for their order) as one
         atomic batch; the last sequence.  Null values of puts are empty."""
-        base = self.last_sequence()
-        kind = self.options.key_type
-        if "pos" in ops.columns:
-            ordered = reads.with_position(ops, "pos")
-        else:
-            ordered = reads.with_position(ops, "user_key", "vtype", "value")
-        rows = ordered.select(F.col("user_key").cast(kind), (F.col("position") + base).alias("seq"), F.col("vtype").cast("long"), F.when(F.col("vtype") == 1, F.coalesce(F.col("value").cast(kind), F.lit("").cast(kind))).alias("value"))
-        return self.append_versions(rows)
-
-    def append_versions(self, rows: DataFrame) -> int:
-        """Append versions that have their sequences (a replayed log)."""
-        edit = self._next_edit()
+        edit = self._claim()
+        try:
+            base = self.last_sequence()
+            kind = self.options.key_type
+            if "pos" in ops.columns:
+                ordered = reads.with_position(ops, "pos")
+            else:
+                ordered = reads.with_position(ops, "user_key", "vtype", "value")
+            rows = ordered.select(F.col("user_key").cast(kind), (F.col("position") + base).alias("seq"), F.col("vtype").cast("long"), F.when(F.col("vtype") == 1, F.coalesce(F.col("value").cast(kind), F.lit("").cast(kind))).alias("value"))
+            return self._append(rows, edit)
+        except Exception:
+            self.release()
+            raise
+
+    def append_versions(self, rows: DataFrame, *, source: str | None = None, batch: int | None = None) -> int:
+        """Append versions that have their sequences (a replayed log).  A batch of a
+        source that an edit already has is skipped."""
+        edit = self._claim()
+        try:
+            if source is not None and not self._open().where((F.col("source") == source) & (F.col("batch") == batch)).isEmpty():
+                self.release()
+                return self.last_sequence()
+            return self._append(rows, edit, source, batch)
+        except Exception:
+            self.release()
+            raise
+
+    def _append(self, rows: DataFrame, edit: int, source: str | None = None, batch: int | None = None) -> int:
         folder = self._write(rows.select("user_key", "seq", "vtype", "value"))
         top, n = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}").agg(F.max("seq"), F.count("*")).first()
         last = max(top or 0, self.last_sequence())
-        self._publish([("add", 0, folder, last, n)], edit)
+        self._publish([("add", 0, folder, last, n, source, batch)], edit)
         return last
 
     def put(self, key: str | bytes, value: str | bytes) -> int:
@@ -153,14 +191,42 @@ class KVTable:
     def compact(self, snapshots: list[int] | None = None) -> None:
         """Merge all folders into one run at the bottom; reads as of the present and
         of the given snapshots stay as they are."""
-        edit, before = self._next_edit(), [r.folder for r in self.live().collect()]
+        before = [r.folder for r in self.live().collect()]
         if not before:
             return
-        last = self.last_sequence()
-        kept = reads.compact(self.log(), [*(snapshots or []), last])
-        folder = self._write(kept.select("user_key", "seq", "vtype", "value"))
-        n = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}").count()
-        self._publish([("add", 1, folder, last, n), *(("delete", 0, f, last, 0) for f in before)], edit)
+        edit = self._claim()
+        try:
+            last = self.last_sequence()
+            kept = reads.compact(self.log(), [*(snapshots or []), last])
+            folder = self._write(kept.select("user_key", "seq", "vtype", "value"))
+            n = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}").count()
+            # The fold of all edits as one: batches seen stay known.
+            seen = self._open().where("source is not null").groupBy("source").agg(F.collect_set("batch").alias("batches")).collect()
+            tokens = [("none", 0, "", last, 0, r.source, b) for r in seen for b in r.batches]
+            self._publish([("add", 1, folder, last, n), *(("delete", 0, f, last, 0) for f in before), *tokens], edit)
+        except Exception:
+            self.release()
+            raise
+
+    def trim(self) -> list[str]:
+        """Delete commits before the last compaction, and data folders and claims that
+        nothing live needs; the folders' names.  For readers of old snapshots: after
+        they are done."""
+        live = {r.folder for r in self.live().collect()}
+        edits = self._open()
+        last = edits.where("level = 1 and action = 'add'").agg(F.max("edit_id")).first()[0]
+        for kind, gone in (("manifest", last), ("claims", self._next_edit())):
+            where, store = self._file(kind)
+            if gone is not None and store.exists(where):
+                for s in store.listStatus(where):
+                    if s.getPath().getName().isdigit() and int(s.getPath().getName()) < gone:
+                        store.delete(s.getPath(), True)
+        where, store = self._file("data")
+        folders = [s.getPath() for s in store.listStatus(where)] if store.exists(where) else []
+        dead = [f for f in folders if f.getName() not in live]
+        for f in dead:
+            store.delete(f, True)
+        return sorted(f.getName() for f in dead)
 
     def obsolete(self) -> DataFrame:
         """Folders that edits once added and that are no longer live."""

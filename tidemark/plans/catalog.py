@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
+from tidemark.functions.filters import BloomPolicy
 from tidemark.operators import batches, files, layout, reads
 from tidemark.plans.fixtures import BATCH, FILE_KEYS, event_log, file_table, loose_files, order_run, part_run, sql, table, user_key
-from tidemark.runtime import keep
+from tidemark.runtime import fresh_path, keep
+from tidemark.sources import logfile, tablefile
+from tidemark.sources.editfile import Version, VersionEdit
+from tidemark.sources.store import Store, StoreOptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,7 +406,7 @@ _MAY = "SELECT k.file, k.user_key, count(*) = count(b.bit) AS may_match FROM ask
 def _probed(spark, sf_dir):
     run = order_run(spark, sf_dir)
     absent = run.select("file", F.lpad((F.col("seq") + 5_000_000_000).cast("string"), 10, "0").alias("user_key"))
-    return layout.bloom_probe(layout.bloom_bits(run, 10), absent.unionByName(run.select("file", "user_key")), 10)
+    return layout.bloom_probe(layout.bloom_words(run, 10), absent.unionByName(run.select("file", "user_key")), 10)
 
 
 @query(sql(_MAY, "o", **_BLOOM, a=_PROBES, asked=_ASKED))
@@ -454,6 +458,17 @@ def varint_len(spark, sf_dir):
     return rows.select("o_orderkey", codec.varint_length(wide).cast("long").alias("n"))
 
 
+_WIDE = "CASE " + " ".join(f"WHEN x < {1 << 7 * n} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+
+
+@query(f"SELECT o_orderkey, step, CAST({_WIDE} AS BIGINT) AS n FROM (SELECT o_orderkey, step, (o_orderkey << step) - 1 AS x FROM orders, (SELECT unnest([0, 7, 14, 21, 28, 35, 42]) AS step))")
+def varint_widths(spark, sf_dir):
+    """Every width a non-negative long can have, and the numbers at its edges."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*(F.lit(7 * i) for i in range(7)))).alias("step"))
+    shifted = F.call_function("shiftleft", F.col("o_orderkey"), F.col("step")) - 1
+    return rows.select("o_orderkey", "step", codec.varint_length(shifted).alias("n"))
+
+
 @query(sql("SELECT user_key, seq, vtype, CAST(CAST(seq AS HUGEINT) * 256 + vtype AS DECIMAL(20, 0)) AS tag FROM e", "e"))
 def parse_internal_key(spark, sf_dir):
     packed = event_log(spark, sf_dir).select("user_key", codec.packed_tag(F.col("seq"), F.col("vtype")).alias("tag"))
@@ -468,8 +483,9 @@ _KIND_SQL = "CASE WHEN name IN ('LOG', 'LOG.old') THEN 'info' WHEN name IN ('CUR
 
 @query(f"SELECT name, {_KIND_SQL} AS kind, coalesce(nullif(d, ''), '0') AS number FROM (SELECT name, regexp_extract(name, '^(?:MANIFEST-)?([0-9]+)(?:\\.(?:log|sst|ldb|dbtmp))?$', 1) AS d FROM (VALUES {_NAME_ROWS}) t(name)) WHERE regexp_matches(name, '^(CURRENT|LOCK|LOG|LOG\\.old|MANIFEST-[0-9]+|[0-9]+\\.(log|sst|ldb|dbtmp))$') AND CAST(coalesce(nullif(d, ''), '0') AS HUGEINT) < 18446744073709551616")
 def parse_file_name(spark, sf_dir):
-    found = [(n, *p) for n in _NAMES if (p := codec.parse_file_name(n))]
-    return spark.createDataFrame([(n, kind, str(number)) for n, kind, number in found], "name string, kind string, number string")
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, _NAMES))).alias("name"))
+    found = names.withColumn("found", codec.file_name_columns(F.col("name"))).where("found is not null")
+    return found.select("name", "found.kind", F.col("found.number").cast("string").alias("number"))
 
 
 @query(sql("SELECT user_key, row_number() OVER (ORDER BY reverse(user_key)) AS position FROM o", "o"))
@@ -558,6 +574,29 @@ def pick_output_level(spark, sf_dir):
     return files.output_level(file_table(spark, sf_dir), ranges)
 
 
+@query(
+    sql(
+        "SELECT level, number, smallest, largest FROM i WHERE island IN (SELECT island FROM i GROUP BY island HAVING min(smallest) <= '0000000200' AND max(largest) >= '0000000100')",
+        "l",
+        i="SELECT *, sum(fresh) OVER (ORDER BY smallest, number) AS island FROM (SELECT *, CASE WHEN coalesce(max(largest) OVER (ORDER BY smallest, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < smallest, true) THEN 1 ELSE 0 END AS fresh FROM l)",
+    )
+)
+def overlapping_inputs(spark, sf_dir):
+    return files.overlapping_inputs(loose_files(spark, sf_dir), 0, "0000000100", "0000000200")
+
+
+@query(
+    sql(
+        "SELECT level, CAST(NULL AS BIGINT) AS number, 'score' AS reason FROM (SELECT level, CASE WHEN level = 0 THEN count(*) / 4.0::DOUBLE ELSE sum(file_size)::DOUBLE / (10485760 * power(10, greatest(level - 1, 0))) END AS s FROM r GROUP BY level) WHERE round(s, 6) >= 1"
+        " UNION ALL SELECT level, number, 'seeks' FROM r WHERE number * 90 >= greatest(100, file_size // 16384)",
+        "r",
+    )
+)
+def need_compaction(spark, sf_dir):
+    base = file_table(spark, sf_dir)
+    return files.need_compaction(base, base.select("number", (F.col("number") * 90).alias("seeks")))
+
+
 @query(sql("SELECT level, largest, number, file_size, row_number() OVER (PARTITION BY level ORDER BY largest, number) AS position FROM r", "r"))
 def level_file_index(spark, sf_dir):
     return files.level_index(file_table(spark, sf_dir))
@@ -613,3 +652,79 @@ _SHARD = f"SELECT user_key, h // 268435456 AS shard FROM (SELECT user_key, {_has
 def shard_charge(spark, sf_dir):
     h = codec.byte_hash_column(F.col("user_key"), 10, layout.FILTER_SEED)
     return order_run(spark, sf_dir).groupBy(F.floor(h / (1 << 28)).alias("shard")).agg(F.count("*").alias("n"), F.sum(F.octet_length("user_key").cast("long")).alias("charge"))
+
+
+# -- byte formats: written, then read back
+
+
+def _tables(spark, sf_dir):
+    """The event log as table files with snappy frames and filters: their manifest."""
+    return tablefile.write_table_files(event_log(spark, sf_dir), compression=tablefile.SNAPPY, policy=BloomPolicy())
+
+
+def _folder(manifest: DataFrame) -> list[str]:
+    return [r.path for r in manifest.select("path").collect()]
+
+
+@query(sql("SELECT user_key, seq, vtype, CASE WHEN vtype = 1 THEN coalesce(value, '') ELSE '' END AS value FROM e", "e"))
+def table_files_read(spark, sf_dir):
+    """Every version through prefix-compressed, checked snappy blocks."""
+    log = event_log(spark, sf_dir).withColumn("value", F.when(F.col("vtype") == 1, F.col("value")))
+    manifest = tablefile.write_table_files(log, compression=tablefile.SNAPPY)
+    rows = tablefile.read_table_blocks(spark, _folder(manifest))
+    return rows.select(F.col("user_key").cast("string"), "seq", "vtype", F.col("value").cast("string"))
+
+
+@query(sql("SELECT k.user_key, v.seq, v.value FROM k JOIN visible v USING (user_key)", "e", **_SNAP, k=_CUSTOMERS + " UNION ALL SELECT user_key || 'x' FROM (" + _CUSTOMERS + ")"))
+def table_files_get(spark, sf_dir):
+    """Point reads through file ranges, filters, index and restart points; keys that
+    are not there too."""
+    keys = _customers(spark, sf_dir)
+    asked = keys.unionByName(keys.select(F.concat("user_key", F.lit("x")).alias("user_key")))
+    found = tablefile.get_keys(_tables(spark, sf_dir), asked.select(F.col("user_key").cast("binary")), SNAPSHOT, policy=BloomPolicy())
+    return found.select(F.col("user_key").cast("string"), "seq", F.col("value").cast("string"))
+
+
+@query(sql("SELECT file, block, first_key, \"offset\" FROM (SELECT file, block, first_key, CAST(coalesce(sum(n_bytes + 5) OVER (PARTITION BY file ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM g)", "o", recursive=True, **_O, g=_BLOCK_ROWS))
+def table_offset_of(spark, sf_dir):
+    """Approximate offsets that a real table's index gives for the first key of each block."""
+    run = order_run(spark, sf_dir)
+    firsts = layout.block_layout(run).select("file", "block", "first_key")
+    return firsts.join(tablefile.offsets_of(run, firsts), ["file", "first_key"]).select("file", "block", "first_key", "offset")
+
+
+@query(sql(_APPLIED, "r", ed=_EDITS))
+def manifest_bytes(spark, sf_dir):
+    """The manifest's edits encoded, framed as a log, read back, decoded and folded."""
+    base, edits = _edits(spark, sf_dir)
+    first = [("add", *r) for r in base.select("level", "number", "file_size", "smallest", "largest").toLocalIterator()]
+    later = [tuple(r) for r in edits.orderBy("edit_id", F.desc("action")).select("action", "level", "number", "file_size", "smallest", "largest").toLocalIterator()]
+    records = []
+    for action, level, number, size, low, high in (*first, *later):
+        edit = VersionEdit()
+        if action == "add":
+            edit.add_file(level, number, size, *(codec.pack_internal_key(k.encode(), number, 1) for k in (low, high)))
+        else:
+            edit.delete_file(level, number)
+        records.append(edit.encode())
+    version = Version()
+    for record in logfile.read_records(logfile.frame(records)):
+        version.apply(VersionEdit.decode(record))
+    live = [(level, f.number, f.file_size, f.smallest[:-8].decode(), f.largest[:-8].decode()) for (level, _), f in version.files.items()]
+    return spark.createDataFrame(live, "level long, number long, file_size long, smallest string, largest string")
+
+
+@query(sql("SELECT * FROM visible", "e", **_SNAP))
+def store_recover(spark, sf_dir):
+    """A store directory of two levels of tables and unflushed logs, recovered from
+    its CURRENT file and read as of a snapshot."""
+    log = event_log(spark, sf_dir)
+    store = Store(spark, fresh_path(spark, "store"), StoreOptions(create_if_missing=True))
+    store.add(log.where("seq <= 1500"), 1)
+    store.add(log.where("seq > 1500 and seq <= 4000"))
+    tail = batches.as_batches(log.where("seq > 4000"), BATCH).withColumn("log", F.lit(store.numbers.new()).cast("long"))
+    for row in logfile.write_log_files(tail).collect():
+        store.folder.move_in(row.path, codec.file_name("log", row.log))
+    again = Store(spark, store.folder.path)
+    found = reads.snapshot_read(again.log().drop("file"), SNAPSHOT)
+    return found.select(F.col("user_key").cast("string"), "seq", "vtype", F.col("value").cast("string"))

@@ -20,9 +20,9 @@ Skew.  Documents with equal sets are collapsed first.  Frequencies are partial
 sums.  A posting list never becomes pairs wholesale: three centres (the member with the
 fewest tokens of its own, and two drawn by hash) are verified against the other
 members, and links contract the list to components.  Only members of *different*
-components are then paired, and not by the list's token alone: the key is that
-token together with a token of order C's prefix, which every linked pair shares
-too.  So a list of many dissimilar members is split by what else they hold, and the
+components are then paired, and in all but short lists not by the list's token
+alone: the key is that token together with a token of order C's prefix, which every
+linked pair shares too.  So a list of many dissimilar members is split by what else they hold, and the
 join stays exact without the square of a group of near copies.
 
 Every stage is a shuffle join or a partial aggregate over Parquet tables in the
@@ -47,6 +47,9 @@ from tidemark.llm.components import connected_components
 UNIVERSE = 1.6
 #: Keys of documents to verify are broadcast up to this many (8 bytes each).
 BROADCAST_KEYS = 1_000_000
+#: A list of up to this many members is paired by its token alone: fewer rows than
+#: its members have tokens under order C.
+SHORT_LIST = 48
 _FLIP = np.uint64(1 << 63)
 
 
@@ -294,8 +297,11 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 1
         .select("h", "node", "n", "place", F.coalesce("component", "node").alias("component"))
     )
     placed = keep(placed, "ngram-placed")
-    open_lists = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    rest = placed.join(open_lists, "h", "left_semi").join(sets.select("node", F.explode("c").alias("c")), "node")
+    open_lists = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("h", "members")
+    open_members = placed.join(open_lists, "h")
+    short = open_members.where(F.col("members") <= SHORT_LIST).withColumn("c", F.lit(0))
+    long = open_members.where(F.col("members") > SHORT_LIST).join(sets.select("node", F.explode("c").alias("c")), "node")
+    rest = short.unionByName(long.select(*short.columns))
     left, right = (rest.select("h", "c", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"k{x}")) for x in "ab")
     crossing = (
         left.join(right, ["h", "c"])

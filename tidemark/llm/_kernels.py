@@ -49,21 +49,37 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-class _Weights:
-    """Pseudo-random 64-bit multipliers by position, grown on demand."""
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, by exponent."""
+
+    BASE = 0xD1342543DE82EF95
 
     def __init__(self) -> None:
-        self.table = np.empty(0, dtype=U64)
+        self.up = self.down = np.empty(0, dtype=U64)
+
+    def get(self) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.up):
+            self.up, self.down = self.table(self.BASE), self.table(pow(self.BASE, -1, 1 << 64))
+        return self.up, self.down
 
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.table) < n:
-            size = 1 << max(8, int(n - 1).bit_length())
-            with np.errstate(over="ignore"):
-                self.table = mix((np.arange(size, dtype=U64) + U64(1)) * _GOLD) | U64(1)
-        return self.table
+    @staticmethod
+    def table(base: int) -> np.ndarray:
+        out = np.empty(SPAN, dtype=U64)
+        out[0], n = 1, 1
+        with np.errstate(over="ignore"):
+            while n < SPAN:  # the first n powers give the next n
+                step = U64(pow(base, n, 1 << 64))
+                out[n : 2 * n] = out[:n] * step
+                n *= 2
+        return out
 
 
-_WEIGHTS = _Weights()
+#: Bytes hashed over one table of powers.
+SPAN = 1 << 17
+_POWERS = _Powers()
+#: A 64-bit number for every byte, and the same with A-Z as a-z.
+_BYTES = mix((np.arange(256, dtype=U64) + U64(1)) * _GOLD)
+_LOWERED = _BYTES[LOWER]
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,21 +127,44 @@ def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word: position-weighted sum, then finalised."""
-    if not len(starts):
-        return np.empty(0, U64)
-    lengths = ends - starts
-    first = np.zeros(len(lengths), np.int64)
-    np.cumsum(lengths[:-1], out=first[1:])
-    total = int(first[-1] + lengths[-1])
-    within = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    chars = raw[within + np.repeat(starts, lengths)]
-    if lower:
-        chars = LOWER[chars]
-    weights = _WEIGHTS.upto(int(lengths.max()))
+    """64-bit hash of each word: a polynomial in its bytes, then finalised.
+
+    Running sums over the text give every word's polynomial as a difference, brought
+    down by the power of the word's own start.
+    """
+    out = np.empty(len(starts), U64)
+    table = _LOWERED if lower else _BYTES
+    up, down = _POWERS.get()
+    lengths = (ends - starts).astype(U64)
+    a = 0
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat((chars.astype(U64) + U64(1)) * weights[within], first)
-        return mix(sums + lengths.astype(U64) * _GOLD)
+        while a < len(starts):
+            begin = int(starts[a])
+            b = int(np.searchsorted(ends, begin + SPAN, side="right"))
+            if b <= a:  # a word longer than the table, in parts
+                out[a] = _long_hash(raw[begin : int(ends[a])], table)
+                a += 1
+                continue
+            sums = np.zeros(int(ends[b - 1]) - begin + 1, U64)
+            values = table[raw[begin : int(ends[b - 1])]]
+            values *= up[: len(values)]
+            np.cumsum(values, out=sums[1:])
+            first = starts[a:b] - begin
+            out[a:b] = (sums[ends[a:b] - begin] - sums[first]) * down[first]
+            a = b
+        return mix(out + lengths * _GOLD)
+
+
+def _long_hash(word: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The polynomial of a word longer than the table of powers."""
+    up, _ = _POWERS.get()
+    total, scale = U64(0), 1
+    step = pow(_Powers.BASE, SPAN, 1 << 64)
+    for at in range(0, len(word), SPAN):
+        values = table[word[at : at + SPAN]]
+        total += (values * up[: len(values)]).sum(dtype=U64) * U64(scale)
+        scale = scale * step % (1 << 64)
+    return total
 
 
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -133,8 +172,8 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     m = len(hashes) - k + 1
     if m <= 0:
         return np.empty(0, U64)
-    weights = _WEIGHTS.upto(k + 1)
     with np.errstate(over="ignore"):
+        weights = mix((np.arange(k, dtype=U64) + U64(1)) * _GOLD) | U64(1)
         out = np.full(m, U64(k) * _GOLD, U64)
         for i in range(k):
             out += hashes[i : i + m] * weights[i]

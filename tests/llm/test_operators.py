@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import io
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -163,15 +165,50 @@ def test_token_counts(spark, docs, rows, empty):
 
 def test_id_blocks():
     r = np.random.default_rng(1)
-    for n, wide in ((0, False), (1, False), (5, True), (8192, False), (20_000, True)):
-        ids = np.minimum(r.zipf(1.3, n), 100_000 if wide else 65_535).astype(np.int32)
-        blocks = id_files.encode_blocks(ids, wide)
-        assert np.array_equal(id_files.decode_blocks(blocks, wide), ids)
+    for n, most in ((0, 9), (1, 9), (5, 2**32 - 1), (8192, 65_535), (20_000, 100_000), (30_000, 2**32 - 1), (9000, 0)):
+        ids = np.minimum(r.zipf(1.3, n) if most < 2**31 else r.integers(0, 2**32, n), most)
+        prior = id_files.Prior.of(ids)
+        blocks = id_files.encode_blocks(ids, prior)
+        prior = id_files.Prior.unpack(len(prior.ids), prior.pack())
+        assert np.array_equal(id_files.decode_blocks(blocks, prior), ids)
         for i, b in enumerate(blocks):  # blocks stand alone
-            assert np.array_equal(id_files.decode_blocks([b], wide), ids[i * id_files.BLOCK : (i + 1) * id_files.BLOCK])
-    n, crc, payload = blocks[0]
-    with pytest.raises(id_files.Corrupt):
-        id_files.decode_blocks([(n, crc, payload[:10] + bytes([payload[10] ^ 1]) + payload[11:])], wide)
+            assert np.array_equal(id_files.decode_blocks([b], prior), ids[i * id_files.BLOCK : (i + 1) * id_files.BLOCK])
+    ids = np.minimum(r.zipf(1.3, 20_000), 100_000)
+    prior = id_files.Prior.of(ids)
+    for i, (n, crc, payload) in enumerate(id_files.encode_blocks(ids, prior)):
+        for at in (2, 10, len(payload) // 2):
+            with pytest.raises(id_files.Corrupt):
+                id_files.decode_blocks([(n, crc, payload[:at] + bytes([payload[at] ^ 1]) + payload[at + 1 :])], prior)
+
+
+def test_id_blocks_are_below_order_0_and_zlib():
+    r = np.random.default_rng(5)
+    # Documents of 300 words, each in one of four languages of 500 words, as in prose.
+    words = [np.minimum(r.zipf(1.3, r.integers(1, 4)) + r.integers(0, 40), 2500) for _ in range(2000)]
+    ids = np.concatenate([words[500 * (d % 4) + w] for d in range(600) for w in r.integers(0, 500, 300)])
+    _, counts = np.unique(ids, return_counts=True)
+    order_0 = -(counts * np.log2(counts / len(ids))).sum() / 8
+    out = io.BytesIO()
+    writer = id_files.IdFileWriter(out)
+    writer.add([1], ids, np.array([len(ids)]))
+    writer.finish()
+    assert len(out.getvalue()) < order_0 and len(out.getvalue()) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+
+
+def test_id_file_takes_all_unsigned_32_bit_ids_and_no_others():
+    out = io.BytesIO()
+    writer = id_files.IdFileWriter(out)
+    ids = np.array([0, 70_000, 2**32 - 1, 5])
+    writer.add([3, None], ids, np.array([1, 3]))
+    writer.finish()
+    out.seek(0)
+    assert [(d, x.tolist()) for d, x in id_files.read_ids(out)] == [(3, [0]), (None, ids[1:].tolist())]
+    for wrong in (-1, 2**32):
+        with pytest.raises(ValueError):
+            id_files.IdFileWriter(io.BytesIO()).add([1], np.array([wrong]), np.array([1]))
+    for cut in (3, 20, len(out.getvalue()) - 1):
+        with pytest.raises((id_files.Corrupt, struct.error)):
+            list(id_files.read_ids(io.BytesIO(out.getvalue()[:cut])))
 
 
 def test_id_files(docs, rows, empty):

@@ -36,8 +36,10 @@ from tidemark.llm.pretokens import piece_starts
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Distinct pieces remembered by a worker before it starts anew.
 REMEMBERED = 1_000_000
-#: Pieces that a worker may remember between tasks (some 10 MB).
-KEPT = 200_000
+#: Pieces that a worker may remember between tasks (some 60 MB at most).
+KEPT = 800_000
+#: Slots, a power of two, for pieces met lately.
+NEAR = 1 << 16
 #: Bytes of text encoded at a time.
 PIECE = 2 << 20
 #: Cells of one matrix.
@@ -143,6 +145,8 @@ class PieceIds:
 
     def forget(self) -> None:
         self.table, self.flat = HashTable(), _Flat(np.int32)
+        # The piece met last at each slot: common ones are found here, near at hand.
+        self.near, self.near_runs = np.zeros(NEAR, np.uint64), np.zeros(NEAR, np.int32)
 
     def rest(self) -> None:
         """At a task's end: what a worker keeps until its next task is bounded."""
@@ -158,8 +162,11 @@ class PieceIds:
         hashes = K.word_hashes(raw, starts, ends, lower=False) | np.uint64(1)
         if self.flat.runs > REMEMBERED:
             self.forget()
-        runs = self.table.find(hashes)
-        new = np.flatnonzero(runs < 0)
+        slots = (hashes >> np.uint64(64 - NEAR.bit_length() + 1)).astype(np.int64)
+        runs = self.near_runs[slots]
+        far = np.flatnonzero(self.near[slots] != hashes)
+        runs[far] = self.table.find(hashes[far])
+        new = far[runs[far] < 0]
         if len(new):
             keys, first = np.unique(hashes[new], return_index=True)
             which = new[first]
@@ -168,10 +175,11 @@ class PieceIds:
                 self.forget()
                 base = 0
                 keys, which = np.unique(hashes, return_index=True)
-                new = np.arange(len(hashes))
+                new = far = np.arange(len(hashes))
             self.flat.add(*self.learn(raw, starts[which], ends[which]))
             self.table.put(keys, np.arange(base, base + len(keys), dtype=np.int32))
             runs[new] = self.table.find(hashes[new])
+        self.near[slots[far]], self.near_runs[slots[far]] = hashes[far], runs[far]
         return runs
 
     def encode_raw(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,28 +1,37 @@
 """Token ids in binary files under an adaptive context-mixing range coder.
 
-An order-2, an order-1 and an order-0 model each predict the next id: the id that
-last followed the same two ids, the one that last followed the same id, and the
-ids seen lately, held in a small cache.  Which of them is right is a four-way
-symbol (the last: none); its probabilities mix adaptive counts kept under three
-contexts - the confidence of the order-2 prediction, that of the order-1
-prediction, and the two symbols before - and drive a carryless range coder of 64
-bits that moves 16 bits at once.  A cache hit adds the slot, a miss the id itself,
-at flat probabilities.
-
-Ids are cut into blocks of ``BLOCK``; every block starts from reset models and has a
-checksum, so blocks decode alone, and all blocks of a batch run in step as lanes
-of numpy arrays.
+Three models predict the next id of a block:
+
+* order 2: the id that last followed the same two ids in the block;
+* order 1: the id that last followed the same id;
+* order 0: the frequencies of the block's ids so far, brought up to date after
+  ``UPDATES`` ids, and the frequencies of all ids of the file's section (the prior).
+
+Which of the four gives the id in the fewest bits is a symbol whose probabilities mix
+adaptive ones kept under three contexts - the confidence of the order-2 prediction,
+that of the order-1 prediction, and the two symbols before.  Each lane weighs the
+contexts by how probable they held the symbols it had.  The symbol, and the id where
+order 0 gives it, drive a range coder of 64 bits that moves 32 bits at once; carries
+are added to the words that have been moved when a block ends.
+
+Ids are cut into blocks of ``BLOCK``; every block starts from reset models (its
+section's prior) and has a checksum, so a block decodes with its section's prior
+alone, and all blocks of a batch run in step as lanes of numpy arrays.
 
 A file is a header, then chunks, each led by a type byte:
 
-    header     magic "TMID1\\0", u8 version, u8 bytes of an id (2 or 4)
+    header     magic "TMID1\\0", u8 version
     documents  u32 documents, u32 payload bytes, u32 crc32 of the payload; zlib of
                i64 ids, u8 whether the id is null, i64 numbers of token ids
+    prior      u32 distinct ids, u32 payload bytes, u32 crc32 of the payload; zlib of
+               u32 differences of the ids in order, u32 frequencies
     block      u32 ids, u32 payload bytes, u32 crc32 of the ids as u32 little-endian; payload
     end        u64 documents, u64 ids
 
-A documents chunk stands before the blocks of its documents' ids.  Documents go to
-files in ascending id order (range partitions, sorted within).
+A documents chunk stands before the blocks of its documents' ids, and a prior begins
+a section: the blocks up to the next prior.  A section has at most ``DISTINCT``
+distinct ids; ids are any unsigned 32-bit numbers.  Documents go to files in
+ascending id order (range partitions, sorted within).
 """
 
 from __future__ import annotations
@@ -32,6 +41,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 from typing import BinaryIO
 
 import numpy as np
@@ -41,264 +52,449 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import fresh_path, keep, map_arrow
+from tidemark.runtime import fresh_path, keep, map_arrow, partitions
 from tidemark.llm.bpe import PieceIds, ragged, text_runs
 
 MAGIC = b"TMID1\0"
-VERSION = 2
-HEADER, ENTRY, TOTALS = struct.Struct("<6sBB"), struct.Struct("<BIII"), struct.Struct("<BQQ")
-END_CHUNK, DOCUMENTS, IDS = 0, 1, 2
-BLOCK = 2048
-#: Blocks coded in step; numpy's cost for a call is shared by so many ids.
-LANES = 4096
-#: Bits of the tables of predictions (order 2 and order 1) and of the cache.
-_TABLE, _CACHE = 11, 8
-#: Four 16-bit counts lie in a word: a count grows by ``_STEP``, and a word with a
-#: count of 4096 is halved, so the sum of three words' counts stays below 65536.
-_STEP = np.uint64(24)
-_ONES, _OVER, _HALF = np.uint64(0x0001000100010001), np.uint64(0x1000100010001000), np.uint64(0x7FFF7FFF7FFF7FFF)
-_FIELD, _SIXTEEN = np.uint64(0xFFFF), np.uint64(16)
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-#: Bits that follow a kind: none for predictions, a cache slot, an id (its upper half, where ids are wide).
-_AFTER = np.array([0, 0, _CACHE, 16], np.uint64)
-_SECOND_HALF = np.array([0, 0, 0, 16], np.uint64)
+VERSION = 3
+HEADER, ENTRY, TOTALS = struct.Struct("<6sB"), struct.Struct("<BIII"), struct.Struct("<BQQ")
+END_CHUNK, DOCUMENTS, IDS, PRIOR = 0, 1, 2, 3
+BLOCK = 8192
+#: Most blocks coded in step; numpy's cost for a call is shared by so many ids.
+LANES = 1536
+#: Ids of a section, but for the last of a file, which has from half to one and a
+#: half of it (or all of a small file).
+SECTION = 1024 * BLOCK
+#: Bytes of text for which a file of its own is worth while.
+FILE_BYTES = 64 << 20
+#: Numbers of ids, powers of two, after which a block's own frequencies are counted anew.
+UPDATES = (128, 512, 1024, 2048, 4096)
+#: Distinct ids of a section; its frequencies add up to 2**PRIOR_BITS, each at least 1.
+PRIOR_BITS = 16
+DISTINCT = 1 << PRIOR_BITS
+#: Bits of the tables of predictions (order 2 and order 1).
+_TABLE = 11
+#: Three cumulative probabilities, of 2**12, lie in the 16-bit fields of a word.
+_KIND_BITS, _RATE = np.uint64(12), np.uint64(5)
+_EVEN = np.uint64(1024 | 2048 << 16 | 3072 << 32)
+_DECAY = np.uint64(0x007F007F007F)
+#: A 32nd of where a symbol draws the fields: up those after it, down those before.
+#: Targets of neighbouring fields differ by 1, which leaves every symbol some share.
+_TARGET = np.array([123 | 124 << 16 | 125 << 32, 1 | 124 << 16 | 125 << 32, 1 | 2 << 16 | 125 << 32, 1 | 2 << 16 | 3 << 32], np.uint64)
+_CUMULATIVE, _WHOLE = np.uint64(0x0FFF0FFF0FFF), np.uint64(4096 << 48)
+_FIELD, _FOUR, _SIXTEEN, _MOVED = (np.uint64(x) for x in (0xFFFF, 4, 16, 32))
+_LEAST = np.uint64(1 << 32)
+_ONES, _HIGH, _TOP_BIT, _TWO, _THREE = (np.uint64(x) for x in (0x000100010001, 0x800080008000, 15, 2, 3))
+#: Numbers of the tables' own width: a step of confidence, the most, and a shift.
+_SURER, _MOST, _FOUR_DOWN = np.int32(1), np.int32(15), np.int32(4)
+#: Steps between changes of the weights, which add up to 16, and how the past fades.
+_WEIGH, _FADE = 8, np.float32(0.875)
+#: An entry of a frequency table: symbol, start and size in one number.
+_PART, _SYMBOL, _MASK = np.uint64(17), np.uint64(34), np.uint64((1 << 17) - 1)
 
 
 class Corrupt(ValueError):
     """A file whose header, length or checksum is not right."""
 
 
+class Prior:
+    """Frequencies of a section's distinct ids; ids are coded by their place here."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.ids, self.counts = ids.astype(np.int64), counts.astype(np.int64)
+        if len(ids) > DISTINCT:
+            raise ValueError(f"more than {DISTINCT} distinct ids in a section")
+        whole = self.counts if len(ids) else np.ones(1, np.int64)
+        shares = np.cumsum(whole) * (DISTINCT - len(whole)) // int(whole.sum())
+        self.size = 1 + np.diff(shares, prepend=0)
+        self.start = np.cumsum(self.size) - self.size
+        self.packed = (self.start << 16 | self.size - 1).astype(np.uint32)
+        self.share = self.size.astype(np.float32) / np.float32(DISTINCT)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior:
+        return cls(*_distinct(ids))
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        if len(self.ids) and int(self.ids[-1]) < 1 << 22:
+            table = np.zeros(int(self.ids[-1]) + 1, np.uint16)
+            table[self.ids] = np.arange(len(self.ids))
+            return table[ids]
+        return np.searchsorted(self.ids, ids).astype(np.uint16)
+
+    def entries(self) -> np.ndarray:
+        """The entry of every frequency slot."""
+        return np.repeat(_entry(np.arange(len(self.size)), self.start, self.size), self.size)
+
+    def pack(self) -> bytes:
+        return zlib.compress(np.diff(self.ids, prepend=0).astype("<u4").tobytes() + self.counts.astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, n: int, payload: bytes) -> Prior:
+        raw = zlib.decompress(payload)
+        return cls(np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)), np.frombuffer(raw, "<u4", n, 4 * n))
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, with their counts."""
+    if len(ids) and int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        found = np.flatnonzero(counts)
+        return found, counts[found]
+    return np.unique(ids, return_counts=True)
+
+
+def sections(ids: np.ndarray) -> Iterator[tuple[np.ndarray, Prior]]:
+    """Runs of ids with at most DISTINCT distinct ones, halved until they are."""
+    found = _distinct(ids)
+    if len(found[0]) <= DISTINCT:
+        yield ids, Prior(*found)
+        return
+    middle = len(ids) // 2
+    yield from sections(ids[:middle])
+    yield from sections(ids[middle:])
+
+
+def _entry(symbol: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (symbol.astype(np.uint64) << _PART | start.astype(np.uint64)) << _PART | size.astype(np.uint64)
+
+
+class _History:
+    """The frequencies of the first ids of every lane: runs of equal ids in order."""
+
+    def __init__(self, columns: np.ndarray) -> None:
+        lanes, self.n = columns.shape
+        ranked = np.sort(columns, axis=1, kind="stable").ravel()
+        head = np.empty(len(ranked), bool)
+        head[0] = True
+        np.not_equal(ranked[1:], ranked[:-1], out=head[1:])
+        head[:: self.n] = True
+        heads = np.flatnonzero(head)
+        self.sizes = np.diff(np.append(heads, len(ranked)))
+        self.lanes = heads // self.n
+        self.starts = heads - self.lanes * self.n
+        self.symbols = ranked[heads].astype(np.int64)
+
+    def find(self, columns: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of each id in its lane's history; size 0 if it is not there.
+
+        Some lanes at a time are looked up in a table of all symbols."""
+        starts, sizes = np.append(self.starts, 0).astype(np.uint16), np.append(self.sizes, 0).astype(np.uint16)
+        start, size = np.empty(columns.shape, np.uint16), np.empty(columns.shape, np.uint16)
+        group = max(1, (1 << 19) // symbols)
+        table = np.full(group * symbols, -1, np.int32)
+        cuts = np.searchsorted(self.lanes, np.arange(0, len(columns) + group, group))
+        for i, a in enumerate(range(0, len(columns), group)):
+            runs = np.arange(cuts[i], cuts[i + 1])
+            at = (self.lanes[runs] - a) * symbols + self.symbols[runs]
+            table[at] = runs.astype(np.int32)
+            part = columns[a : a + group]
+            found = table.take(np.arange(len(part))[:, None] * symbols + part)
+            start[a : a + group], size[a : a + group] = starts.take(found), sizes.take(found)
+            table[at] = -1
+        return start, size
+
+    def entries(self) -> np.ndarray:
+        return np.repeat(_entry(self.symbols, self.starts, self.sizes), self.sizes)
+
+
 class _Models:
-    """The state of all lanes: predictions with their confidence (the low four
-    bits of an entry), the cache, and the counts under three contexts."""
-
-    def __init__(self, lanes: int, wide: bool) -> None:
-        entry, each = np.int64 if wide else np.int32, np.arange(lanes)
-        self.table, self.slots, self.rows = each << _TABLE, each << _CACHE, each << 4
-        self.second, self.first = np.full(lanes << _TABLE, -16, entry), np.full(lanes << _TABLE, -16, entry)
-        self.cache = np.full(lanes << _CACHE, -1, entry)
-        self.counts = np.full((3, lanes << 4), _ONES, np.uint64)
-        self.before, self.earlier = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.kinds = np.zeros(lanes, np.int64)
+    """The state of all lanes: predictions (order 2, order 1) with their confidence in
+    the low four bits, the probabilities under three contexts, and their weights."""
+
+    def __init__(self, lanes: int) -> None:
+        each = np.arange(lanes)
+        self.table_rows = (np.arange(2) * lanes)[:, None] + each << _TABLE
+        self.tables = np.full(2 * lanes << _TABLE, -16, np.int32)
+        self.rows = (np.arange(3) * lanes)[:, None] + each << 4
+        self.shares = np.full(3 * lanes << 4, _EVEN, np.uint64)
+        self.slot = np.zeros((2, lanes), np.int64)
+        self.context = np.zeros((3, lanes), np.int64)
+        self.credit = np.full((3, lanes), 1, np.float32)
+        self.weights = np.repeat(np.array([[6], [5], [5]], np.uint64), lanes, axis=1)
+        self.before = np.zeros(lanes, np.int64)
+        self.steps = 0
 
     def look(self) -> None:
-        """Predictions and mixed counts for the next id of every lane."""
-        shift = np.uint32(32 - _TABLE)
-        self.at1 = self.table + (self.before * np.uint32(0x9E3779B1) >> shift)
-        self.at2 = self.table + (self.before * np.uint32(0x85EBCA6B) + self.earlier * np.uint32(0xC2B2AE35) >> shift)
-        entry2, entry1 = self.second.take(self.at2), self.first.take(self.at1)
-        self.guess2, self.guess1 = entry2 >> 4, entry1 >> 4
-        self.sure2, self.sure1 = entry2 & 15, entry1 & 15
-        self.contexts = (self.rows + self.sure2, self.rows + self.sure1, self.rows + self.kinds)
-        self.held = [c.take(at) for c, at in zip(self.counts, self.contexts)]
-        self.mixed = self.held[0] + self.held[1] + self.held[2]
-        # One multiplication: every field becomes the sum up to itself.
-        self.sums = self.mixed * _ONES
-        self.total = self.sums >> np.uint64(48)
+        """Predictions and mixed probabilities for the next id of every lane."""
+        self.at = self.table_rows + self.slot
+        entry = self.tables.take(self.at)
+        self.guess = entry >> _FOUR_DOWN
+        self.sure = entry & _MOST
+        self.context[:2] = self.sure
+        self.places = self.rows + self.context
+        self.held = self.shares.take(self.places)
+        self.mixed = np.add.reduce(self.held * self.weights) >> _FOUR & _CUMULATIVE
+        self.start = self.mixed << _SIXTEEN
+        self.size = (self.mixed | _WHOLE) - self.start
 
     def share(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each lane's kind."""
-        shift = kind.astype(np.uint64) << np.uint64(4)
-        return (self.sums << _SIXTEEN) >> shift & _FIELD, self.mixed >> shift & _FIELD
-
-    def kind_of(self, ids: np.ndarray) -> np.ndarray:
-        """Symbol of each lane's id: 0 order 2, 1 order 1, 2 cache, 3 none."""
-        cached = self.cache.take(self.slots + (ids & (1 << _CACHE) - 1)) == ids
-        return np.where(self.guess2 == ids, 0, np.where(self.guess1 == ids, 1, 3 - cached))
+        """Start and size of each lane's kind (unsigned), of 2**12."""
+        self.shift = kind << _FOUR
+        return self.start >> self.shift & _FIELD, self.size >> self.shift & _FIELD
+
+    def cheapest(self, ids: np.ndarray, own: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """The kind of each lane's id that takes the fewest bits, where the block's
+        frequencies and the prior give the id those shares."""
+        fields = self.size.view(np.uint16).reshape(-1, 4)
+        hit = self.hit = self.guess == ids
+        by_own, by_prior = fields[:, 2] * own, fields[:, 3] * prior
+        best = np.maximum(by_own, by_prior)
+        first, second = fields[:, 1] * hit[1], fields[:, 0] * hit[0]
+        kind = (by_prior > by_own) + _TWO
+        kind[first > best] = 1
+        kind[second > np.maximum(best, first)] = 0
+        return kind
 
     def kind_at(self, value: np.ndarray) -> np.ndarray:
-        """The kind whose share holds a value."""
-        s = self.sums
-        return (value >= (s & _FIELD)).astype(np.int64) + (value >= (s >> _SIXTEEN & _FIELD)) + (value >= (s >> np.uint64(32) & _FIELD))
+        """The kind whose share holds a value below 2**12: how many fields it reaches,
+        all three compared in one subtraction."""
+        reached = (value * _ONES | _HIGH) - self.mixed & _HIGH
+        return (reached >> _TOP_BIT) * _ONES >> _MOVED & _THREE
 
     def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        step = _STEP << (kind.astype(np.uint64) << np.uint64(4))
-        for counts, at, held in zip(self.counts, self.contexts, self.held):
-            held += step
-            over = np.flatnonzero(held & _OVER)
-            if len(over):
-                held[over] = held[over] >> np.uint64(1) & _HALF | _ONES
-            counts[at] = held
-        entry = ids << 4
-        self.second[self.at2] = entry | np.minimum(self.sure2 + 1, 15) * (self.guess2 == ids)
-        self.first[self.at1] = entry | np.minimum(self.sure1 + 1, 15) * (self.guess1 == ids)
-        self.cache[self.slots + (ids & (1 << _CACHE) - 1)] = ids
-        self.earlier, self.before = self.before, ids.astype(np.uint32)
-        self.kinds = (self.kinds << 2 | kind) & 15
-
-
-class _Range:
-    """Carryless range coders of all lanes, 64 bits wide, moving 16 bits at once.
-
-    After :meth:`settled` a width is 2**32 or more: enough for a kind (totals are
-    below 2**16) and 16 bits after it.
-    """
+        """Take in the ids of all lanes and their kinds (0 order 2, 1 order 1, 2 the
+        block's frequencies, 3 the prior)."""
+        held = self.held
+        if self.steps % _WEIGH == 0:
+            given = ((held | _WHOLE) - (held << _SIXTEEN)) >> self.shift & _FIELD
+            self.credit = self.credit * _FADE + given.astype(np.float32) / np.float32(4096)
+            cubes = self.credit * self.credit * self.credit
+            parts = (cubes * (np.float32(16) / np.add.reduce(cubes))).astype(np.uint64)
+            parts[0] = np.uint64(16) - parts[1] - parts[2]
+            self.weights = parts
+        self.steps += 1
+        kind = kind.astype(np.int64)
+        self.shares[self.places] = held - (held >> _RATE & _DECAY) + _TARGET.take(kind)
+        entry = np.minimum(self.sure + _SURER, _MOST)
+        entry *= self.hit
+        entry |= ids.astype(np.int32) << _FOUR_DOWN
+        self.tables[self.at] = entry
+        last = self.context[2]
+        last <<= 2
+        last |= kind
+        last &= 15
+        mixed, plain = self.slot
+        np.multiply(self.before, 1009, out=mixed)
+        mixed += ids
+        mixed &= (1 << _TABLE) - 1
+        np.bitwise_and(ids, (1 << _TABLE) - 1, out=plain)
+        self.before = ids
+
+
+class _Writer:
+    """Range coders of all lanes.  A width is 2**32 or more before each id, enough for
+    its kind (12 bits) and what follows (16)."""
 
     def __init__(self, lanes: int) -> None:
         self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-
-    def narrow(self, unit: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> None:
-        self.low += start * unit
-        self.width = unit * size if isinstance(size, np.ndarray) else unit
-
-    def settled(self) -> np.ndarray:
-        """Lanes whose top 16 bits can go, with the width cut where it underflows."""
-        same = (self.low ^ (self.low + self.width)) < _TOP
-        go = np.flatnonzero(same | (self.width < _BOTTOM))
-        cut = go[~same[go]]
-        if len(cut):
-            self.width[cut] = (_BOTTOM - (self.low[cut] & (_BOTTOM - np.uint64(1)))) & (_BOTTOM - np.uint64(1))
-        return go
-
-    def shift(self, lanes: np.ndarray) -> np.ndarray:
-        """Drop the top 16 bits of the given lanes; those bits."""
-        low = self.low[lanes]
-        self.low[lanes], self.width[lanes] = low << _SIXTEEN, self.width[lanes] << _SIXTEEN
-        return (low >> np.uint64(48)).astype(np.uint16)
-
-
-class _Writer(_Range):
-    def __init__(self, lanes: int, room: int) -> None:
-        super().__init__(lanes)
-        self.out, self.used = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
-
-    def settle(self) -> None:
-        while len(lanes := self.settled()):
-            at = self.used[lanes]
-            self.out[lanes, at] = self.shift(lanes)
-            self.used[lanes] = at + 1
-
-    def finish(self, lane: int) -> bytes:
-        """A lane's payload; the lane itself stays as it is, and may go on."""
-        low = self.low[lane]
-        rest = np.array([low >> np.uint64(s) & _FIELD for s in (48, 32, 16, 0)], "<u2")
-        return self.out[lane, : self.used[lane]].tobytes() + rest.tobytes()
-
-
-class _Reader(_Range):
+        self.steps = 0
+        self.lanes: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+        self.carried: list[tuple[int, np.ndarray]] = []
+
+    def put(self, start: np.ndarray, size: np.ndarray, then: np.ndarray, then_bits: np.ndarray) -> None:
+        """A share of 2**12 and then one of 2**then_bits for every lane: ``then`` is
+        the start and the size less 1 of the latter."""
+        unit = self.width >> _KIND_BITS
+        low = self.low + start * unit
+        unit *= size
+        unit >>= then_bits
+        low += (then >> _SIXTEEN) * unit
+        unit *= (then & _FIELD) + np.uint64(1)
+        over = (low < self.low).nonzero()[0]
+        if len(over):  # past 64 bits: one more for the word moved last
+            self.carried.append((self.steps, over))
+        self.low, self.width = low, unit
+        small = (unit < _LEAST).nonzero()[0]
+        part = low.take(small)
+        self.lanes.append(small.astype(np.uint16))
+        self.words.append((part >> _MOVED).astype(np.uint32))
+        low[small] = part << _MOVED
+        unit[small] = unit.take(small) << _MOVED
+        self.steps += 1
+
+    def mark(self) -> tuple[int, int]:
+        """Where the last lane stands: the steps made, and its low."""
+        return self.steps, int(self.low[-1])
+
+    def payloads(self, mark: tuple[int, int] | None = None) -> list[bytes]:
+        """The bytes of every lane; of the last one, those up to the mark."""
+        n, last = len(self.low), len(self.low) - 1
+        lanes = np.concatenate(self.lanes) if self.lanes else np.empty(0, np.uint16)
+        order = np.argsort(lanes, kind="stable")
+        words = np.concatenate(self.words)[order].astype(np.int64) if self.words else np.empty(0, np.int64)
+        ends = np.cumsum(np.bincount(lanes, minlength=n))
+        stops, lows = ends.copy(), self.low.copy()
+        carried = self.carried
+        if mark is not None:
+            steps, lows[-1] = mark
+            after = sum(int((x == last).sum()) for x in self.lanes[steps:])
+            stops[-1] -= after
+            carried = [(t, x if t < steps else x[x != last]) for t, x in carried]
+        if carried:
+            # The word before a carry: the last of its lane that an earlier step moved.
+            step = np.repeat(np.arange(len(self.lanes)), [len(x) for x in self.lanes])
+            keys = lanes[order].astype(np.int64) << 32 | step[order]
+            at = np.searchsorted(keys, np.concatenate([x.astype(np.int64) << 32 | t for t, x in carried])) - 1
+            np.add.at(words, at, 1)
+            while len(over := np.flatnonzero(words >> 32)):
+                words[over] &= 0xFFFFFFFF
+                np.add.at(words, over - 1, 1)
+        data, begins = words.astype("<u4"), np.concatenate(([0], ends[:-1]))
+        # The number low itself lies in the last range: its bits end a payload.
+        return [data[a:b].tobytes() + np.array([low >> 32, low & 0xFFFFFFFF], "<u4").tobytes() for a, b, low in zip(begins.tolist(), stops.tolist(), lows.tolist())]
+
+
+class _Reader:
     def __init__(self, payloads: list[bytes]) -> None:
-        super().__init__(len(payloads))
-        self.data = np.zeros((len(payloads), max(map(len, payloads)) // 2 + 5), "<u2")
-        for i, p in enumerate(payloads):
-            words = np.frombuffer(p, "<u2", len(p) // 2)
-            self.data[i, : len(words)] = words
-        self.code, self.used = np.zeros(len(payloads), np.uint64), np.zeros(len(payloads), np.int64)
-        for _ in range(4):
-            self.pull(np.arange(len(payloads)))
-
-    def pull(self, lanes: np.ndarray) -> None:
-        at = self.used[lanes]
-        self.code[lanes] = self.code[lanes] << _SIXTEEN | self.data[lanes, np.minimum(at, self.data.shape[1] - 1)]
-        self.used[lanes] = at + 1
+        sizes = np.array([len(p) // 4 for p in payloads])
+        # Lanes end to end.  A lane that has run out, as only one that is done or not
+        # right does, reads on in the next.
+        self.data = np.concatenate([*(np.frombuffer(p, "<u4", n) for p, n in zip(payloads, sizes.tolist())), np.zeros(2, "<u4")]).astype(np.uint64)
+        self.at = np.cumsum(sizes) - sizes + 2
+        #: What the code is above low.
+        self.ahead = self.data.take(self.at - 2) << _MOVED | self.data.take(self.at - 1)
+        self.width = np.full(len(payloads), 2**64 - 1, np.uint64)
 
     def settle(self) -> None:
-        while len(lanes := self.settled()):
-            self.shift(lanes)
-            self.pull(lanes)
+        small = (self.width < _LEAST).nonzero()[0]
+        at = self.at.take(small)
+        self.width[small] = self.width.take(small) << _MOVED
+        self.ahead[small] = self.ahead.take(small) << _MOVED | self.data.take(at, mode="clip")
+        self.at[small] = at + 1
 
-    def bits(self, bits: np.ndarray) -> np.ndarray:
-        """So many flat bits of each lane."""
-        unit = self.width >> bits
-        value = np.minimum((self.code - self.low) // unit, (np.uint64(1) << bits) - np.uint64(1))
-        self.narrow(unit, value, 1)
-        return value.astype(np.int64)
 
-
-def encode_blocks(ids: np.ndarray, wide: bool = False, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
-    """(ids, crc32, payload) of each block of an id array; ``wide`` ids pass 65535."""
+def encode_blocks(ids: np.ndarray, prior: Prior, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
+    """(ids, crc32, payload) of each block of an id array that the prior covers."""
     out: list[tuple[int, int, bytes]] = []
     cuts = range(0, len(ids), block)
     for i in range(0, len(cuts), LANES):
         some = [ids[a : a + block] for a in cuts[i : i + LANES]]
-        # Only the last block can be shorter; its lane goes on with zeros, unread.
+        # Only the last block can be shorter; its lane goes on, unread.
         longest, last = len(some[0]), len(some[-1])
-        columns = np.zeros((len(some), longest), np.int64 if wide else np.int32)
+        columns = np.zeros((len(some), longest), np.uint16)
         for lane, b in zip(columns, some):
-            lane[: len(b)] = b
-        models, writer = _Models(len(some), wide), _Writer(len(some), (4 if wide else 3) * longest + 16)
-        ending = b""
-        for t, column in enumerate(np.ascontiguousarray(columns.T)):
-            if t == last:
-                ending = writer.finish(len(some) - 1)
-            models.look()
-            kind = models.kind_of(column)
-            start, size = models.share(kind)
-            writer.narrow(writer.width // models.total, start, size)
-            upper = column >> 16 if wide else column
-            value = np.where(kind == 3, upper, np.where(kind == 2, column & (1 << _CACHE) - 1, 0))
-            writer.narrow(writer.width >> _AFTER[kind], value.astype(np.uint64), 1)
-            writer.settle()
-            if wide:
-                value = np.where(kind == 3, column & 0xFFFF, 0)
-                writer.narrow(writer.width >> _SECOND_HALF[kind], value.astype(np.uint64), 1)
-                writer.settle()
-            models.learn(column, kind)
-        for j, b in enumerate(some):
-            payload = ending if last < longest and j == len(some) - 1 else writer.finish(j)
+            lane[: len(b)] = prior.places(b)
+        models, writer = _Models(len(some)), _Writer(len(some))
+        every, row_of = np.arange(len(some)), np.array([0, 0, 0, len(some)])
+        mark, t = None, 0
+        for until in [*(u for u in UPDATES if u < longest), longest]:
+            part = np.ascontiguousarray(columns[:, t:until].T)
+            bits = np.array([0, 0, max(1, t).bit_length() - 1, PRIOR_BITS], np.uint64)
+            # Start and size less 1 of every id under both frequencies.
+            packed = np.zeros((len(part), 2, len(some)), np.uint32)
+            packed[:, 1] = prior.packed[part]
+            own, scale = np.zeros(part.shape, np.uint16), np.float32(1 / max(1, t))
+            if t:
+                start, size = _History(columns[:, :t]).find(columns[:, t:until], len(prior.size))
+                packed[:, 0] = (start.T.astype(np.uint32) << np.uint32(16)) + size.T - np.uint32(1)
+                own[:] = size.T
+            for places, row, sizes in zip(part, packed.reshape(len(part), -1), own):
+                if t == last:
+                    mark = writer.mark()
+                column = places.astype(np.int64)
+                models.look()
+                kind = models.cheapest(column, sizes * scale, prior.share.take(column))
+                then = row.take(row_of.take(kind) + every).astype(np.uint64)
+                then *= kind >= _TWO
+                writer.put(*models.share(kind), then, bits.take(kind))
+                models.learn(column, kind)
+                t += 1
+        for b, payload in zip(some, writer.payloads(mark)):
             out.append((len(b), zlib.crc32(b.astype("<u4").tobytes()), payload))
     return out
 
 
-def decode_blocks(blocks: list[tuple[int, int, bytes]], wide: bool = False) -> np.ndarray:
+def decode_blocks(blocks: list[tuple[int, int, bytes]], prior: Prior) -> np.ndarray:
     """The ids of blocks laid end to end; a wrong checksum is :class:`Corrupt`."""
     parts: list[np.ndarray] = []
+    # What follows a prediction: nothing, the whole of a range.
+    slots = np.concatenate((np.ones(1, np.uint64), prior.entries()))
+    names = prior.ids if len(prior.ids) else np.zeros(1, np.int64)
     for i in range(0, len(blocks), LANES):
         some = blocks[i : i + LANES]
-        models, reader = _Models(len(some), wide), _Reader([p for _, _, p in some])
-        columns = np.zeros((max(n for n, _, _ in some), len(some)), np.int64 if wide else np.int32)
-        for t in range(len(columns)):
-            models.look()
-            unit = reader.width // models.total
-            kind = models.kind_at(np.minimum((reader.code - reader.low) // unit, models.total - np.uint64(1)))
-            start, size = models.share(kind)
-            reader.narrow(unit, start, size)
-            value = reader.bits(_AFTER[kind])
-            reader.settle()
-            whole = value
-            if wide:
-                whole = value << 16 | reader.bits(_SECOND_HALF[kind])
+        models, reader = _Models(len(some)), _Reader([p for _, _, p in some])
+        longest = max(n for n, _, _ in some)
+        columns = np.zeros((longest, len(some)), np.uint16)
+        every, t = np.arange(len(some)), 0
+        for until in [*(u for u in UPDATES if u < longest), longest]:
+            # One table: the prior's slots, then those of every lane's history.
+            entries = np.concatenate((slots, _History(columns[:t].T).entries())) if t else slots
+            bits = np.array([0, 0, max(1, t).bit_length() - 1, PRIOR_BITS], np.uint64)
+            most = (np.uint64(1) << bits) - np.uint64(1)
+            base = np.zeros((4, len(some)), np.int64)
+            base[2], base[3] = len(slots) + every * t if t else 0, 1
+            for t in range(t, until):
+                models.look()
+                unit = reader.width >> _KIND_BITS
+                kind = models.kind_at(reader.ahead // unit)
+                start, size = models.share(kind)
+                ahead = reader.ahead - start * unit
+                unit *= size
+                which = kind.astype(np.int64)
+                unit >>= bits.take(which)
+                value = np.minimum(ahead // unit, most.take(which)).astype(np.int64)
+                value += base.take(which * len(some) + every)
+                entry = entries.take(value)
+                ahead -= (entry >> _PART & _MASK) * unit
+                unit *= entry & _MASK
+                reader.ahead, reader.width = ahead, unit
                 reader.settle()
-            slot = value & (1 << _CACHE) - 1
-            found = np.where(kind == 0, models.guess2, np.where(kind == 1, models.guess1, np.where(kind == 2, models.cache.take(models.slots + slot), whole)))
-            columns[t] = found
-            models.learn(columns[t], kind)
+                found = (entry >> _SYMBOL).astype(np.int64)
+                np.copyto(found, models.guess[1], where=which == 1)
+                np.copyto(found, models.guess[0], where=which == 0)
+                columns[t] = found
+                models.hit = models.guess == found
+                models.learn(found, kind)
+            t = until
         for j, ((n, crc, _), lane) in enumerate(zip(some, np.ascontiguousarray(columns.T))):
-            got = lane[:n].astype(np.int32)
-            if zlib.crc32(got.astype("<u4").tobytes()) != crc:
+            got = names[np.minimum(lane[:n], len(names) - 1)].astype("<u4")
+            if zlib.crc32(got.tobytes()) != crc:
                 raise Corrupt(f"block {i + j}: checksum")
             parts.append(got)
-    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+    return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
 class IdFileWriter:
     """Writes documents' ids to a stream in the format above."""
 
-    def __init__(self, out: BinaryIO, wide: bool = False) -> None:
-        self.out, self.wide, self.documents, self.ids = out, wide, 0, 0
+    def __init__(self, out: BinaryIO) -> None:
+        self.out, self.documents, self.ids = out, 0, 0
         self.held: list[tuple[int | None, int]] = []
         self.parts: list[np.ndarray] = []
         self.size = 0
-        out.write(HEADER.pack(MAGIC, VERSION, 4 if wide else 2))
+        out.write(HEADER.pack(MAGIC, VERSION))
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
         """Documents with their ids laid end to end."""
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 32:
+            raise ValueError("an id is not an unsigned 32-bit number")
         self.held += zip(doc_ids, counts.tolist())
         self.parts.append(ids)
         self.size += len(ids)
-        if self.size >= LANES * BLOCK:
-            self.flush()
+        while 2 * self.size >= 3 * SECTION:
+            # What is left for the end fills many lanes, too.
+            self.flush(int(np.searchsorted(np.cumsum([n for _, n in self.held]), SECTION)) + 1)
+
+    def chunk(self, kind: int, n: int, payload: bytes) -> None:
+        self.out.write(ENTRY.pack(kind, n, len(payload), zlib.crc32(payload)) + payload)
 
-    def flush(self) -> None:
-        if not self.held:
+    def flush(self, documents: int | None = None) -> None:
+        """Write the first documents held (all, if None)."""
+        now, self.held = self.held[:documents], self.held[len(self.held) if documents is None else documents :]
+        if not now:
             return
-        names = np.array([0 if d is None else d for d, _ in self.held], "<i8")
-        nulls = np.array([d is None for d, _ in self.held], "u1")
-        payload = zlib.compress(names.tobytes() + nulls.tobytes() + np.array([n for _, n in self.held], "<i8").tobytes(), 1)
-        self.out.write(ENTRY.pack(DOCUMENTS, len(self.held), len(payload), zlib.crc32(payload)) + payload)
-        for n, crc, payload in encode_blocks(np.concatenate(self.parts), self.wide):
-            self.out.write(ENTRY.pack(IDS, n, len(payload), crc) + payload)
-        self.documents, self.ids = self.documents + len(self.held), self.ids + self.size
-        self.held, self.parts, self.size = [], [], 0
+        ids, size = np.concatenate(self.parts), sum(n for _, n in now)
+        self.parts, ids = [ids[size:].copy()], ids[:size]
+        names = np.array([0 if d is None else d for d, _ in now], "<i8")
+        nulls = np.array([d is None for d, _ in now], "u1")
+        self.chunk(DOCUMENTS, len(now), zlib.compress(names.tobytes() + nulls.tobytes() + np.array([n for _, n in now], "<i8").tobytes(), 1))
+        for part, prior in sections(ids):
+            self.chunk(PRIOR, len(prior.ids), prior.pack())
+            for n, crc, payload in encode_blocks(part, prior):
+                self.out.write(ENTRY.pack(IDS, n, len(payload), crc) + payload)
+        self.documents, self.ids, self.size = self.documents + len(now), self.ids + size, self.size - size
 
     def finish(self) -> None:
         self.flush()
@@ -314,17 +510,20 @@ def _exactly(stream: BinaryIO, n: int) -> bytes:
 
 def read_ids(stream: BinaryIO) -> Iterator[tuple[int | None, np.ndarray]]:
     """(document id, token ids) of a file in order, with all checks."""
-    magic, version, width = HEADER.unpack(_exactly(stream, HEADER.size))
-    if magic != MAGIC or version != VERSION or width not in (2, 4):
+    magic, version = HEADER.unpack(_exactly(stream, HEADER.size))
+    if magic != MAGIC or version != VERSION:
         raise Corrupt("not a token id file")
     waiting: list[tuple[int | None, int]] = []
     next_, documents, ids = 0, 0, 0
     blocks: list[tuple[int, int, bytes]] = []
-    rest = np.empty(0, np.int32)
+    prior: Prior | None = None
+    rest = np.empty(0, np.uint32)
     while True:
         kind = _exactly(stream, 1)[0]
         if blocks and (kind != IDS or len(blocks) == LANES):
-            rest = np.concatenate((rest, decode_blocks(blocks, width == 4)))
+            if prior is None:
+                raise Corrupt("a block without its prior")
+            rest = np.concatenate((rest, decode_blocks(blocks, prior)))
             blocks, at = [], 0
             while next_ < len(waiting) and at + waiting[next_][1] <= len(rest):
                 name, n = waiting[next_]
@@ -340,13 +539,15 @@ def read_ids(stream: BinaryIO) -> Iterator[tuple[int | None, np.ndarray]]:
         if kind == IDS:
             blocks.append((count, crc, payload))
             ids += count
-        elif kind == DOCUMENTS and zlib.crc32(payload) == crc:
+        elif kind not in (DOCUMENTS, PRIOR) or zlib.crc32(payload) != crc:
+            raise Corrupt("unknown chunk or wrong checksum")
+        elif kind == PRIOR:
+            prior = Prior.unpack(count, payload)
+        else:
             raw = zlib.decompress(payload)
             names, nulls, counts = np.frombuffer(raw, "<i8", count), np.frombuffer(raw, "u1", count, 8 * count), np.frombuffer(raw, "<i8", count, 9 * count)
             waiting = waiting[next_:] + [(None if z else x, n) for x, z, n in zip(names.tolist(), nulls.tolist(), counts.tolist())]
             next_, documents = 0, documents + count
-        else:
-            raise Corrupt("unknown chunk or wrong checksum")
 
 
 class LibraryIds(PieceIds):
@@ -364,7 +565,8 @@ class LibraryIds(PieceIds):
         # for the characters from 256 on, in order.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(shown)]
-        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+        self.alphabet = np.arange(256, dtype="<u4")
+        self.alphabet[others] = 256 + np.arange(len(others))
 
     def encode_raw(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, bounds = super().encode_raw(raw, offsets)
@@ -395,14 +597,15 @@ class LibraryIds(PieceIds):
 
     def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = ends - starts
-        text = raw[ragged(starts, lengths)].tobytes().decode("latin-1").translate(self.alphabet)
+        text = self.alphabet[raw[ragged(starts, lengths)]].tobytes().decode("utf-32-le")
         cuts = np.cumsum(lengths).tolist()
-        found, a = [], 0
-        for b in cuts:
-            found.append([t.id for t in self.model.tokenize(text[a:b])])
-            a = b
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
+        pieces = [text[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+        ids, counts = [], []
+        for a in range(0, len(pieces), 4096):
+            found = list(map(self.model.tokenize, pieces[a : a + 4096]))
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.int32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 _LIBRARY: dict[str, LibraryIds] = {}
@@ -426,7 +629,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end: int, folder: str | N
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-ids")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # Fewer files than partitions where the texts are few, so that each fills its lanes.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(partitions(spark), max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,6 +656,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end: int, folder: str | N
             writer.finish()
             size = out.tell()
             out.close()
+            coder.rest()
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([f"{folder}/{name}"], pa.string()), *(pa.array([x], pa.int64()) for x in (writer.documents, writer.ids, size))], names=["file_no", "path", "n_docs", "n_ids", "n_bytes"])
 
     return keep(map_arrow(ordered, run, "file_no long, path string, n_docs long, n_ids long, n_bytes long"), "id-manifest")

@@ -6,12 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import Busy, InvalidArgument
+from tidemark.errors import Busy, InvalidArgument, NotFound
 from tidemark.functions import codec, snappy
 from tidemark.functions.filters import BloomPolicy, FilterBlock, FilterBlockBuilder
 from tidemark.operators import batches, files, reads
 from tidemark.operators.reads import Cursor
-from tidemark.sources import logfile, tablefile
+from tidemark.sources import datasource, logfile, tablefile
 from tidemark.sources.editfile import FileNumbers, Version, VersionEdit
 from tidemark.sources.store import Store, StoreOptions
 from tidemark.table import KVTable
@@ -335,3 +335,36 @@ def test_varint_length_at_its_edges(spark):
     numbers = [0, *(x for n in range(1, 10) for x in ((1 << 7 * n) - 2, (1 << 7 * n) - 1)), *((1 << 7 * n) for n in range(1, 9))]
     rows = spark.createDataFrame([(x,) for x in numbers], "x long").select("x", codec.varint_length(F.col("x")).alias("n")).collect()
     assert {r.x: r.n for r in rows} == {x: len(codec.put_varint(x)) for x in numbers}
+
+
+@pytest.mark.parametrize("reuse", [False, True])
+def test_store_writes(spark, tmp_path, reuse):
+    store = Store(spark, f"file://{tmp_path}/s", StoreOptions(create_if_missing=True, reuse_log=reuse))
+    assert store.write(batches.WriteBatch().put(b"a", b"1").put(b"b", b"2")) == 2
+    assert store.write(batches.WriteBatch()) == 2
+    assert store.write(batches.WriteBatch().delete(b"a").put(b"c", b"x" * 40_000)) == 4
+    again = Store(spark, store.folder.path)
+    assert len(again.logs) == (1 if reuse else 2) and again.last_sequence() == 4
+    assert again.get(b"c") == b"x" * 40_000 and again.get(b"a", 2) == b"1"
+    with pytest.raises(NotFound):
+        again.get(b"a")
+
+
+def test_data_sources(spark, tmp_path):
+    rows, path = ops(), f"file://{tmp_path}/s"
+    log = spark.createDataFrame(rows, LOG)
+    store = Store(spark, path, StoreOptions(create_if_missing=True))
+    store.add(log.where("seq <= 200"), 1)
+    store.write(batches.WriteBatch().put(b"logged", b"y"))
+    datasource.register(spark)
+    tables = spark.read.format("tidemark_table").load(path)
+    expected = {(k.encode(), s, v, (x if v else "").encode()) for k, s, v, x in rows if s <= 200}
+    log_values = {(k.encode(), s): x.encode() for k, s, v, x in rows}
+    got = {(bytes(r.user_key), r.seq, r.vtype, bytes(r.value) if r.vtype else b"") for r in tables.collect()}
+    assert got == expected and log_values
+    some = tables.where((F.col("user_key") >= F.lit(b"k10")) & (F.col("user_key") < F.lit(b"k13")))
+    assert {(bytes(r.user_key), r.seq) for r in some.collect()} == {(k, s) for k, s, _, _ in expected if b"k10" <= k < b"k13"}
+    reader = datasource.TableReader(path)
+    list(reader.pushFilters([datasource.EqualTo(("user_key",), b"k10")]))
+    assert {r["user_key"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()} <= {b"k10"}
+    assert [(bytes(r.user_key), r.seq) for r in spark.read.format("tidemark_log").load(path).collect()] == [(b"logged", 201)]

@@ -6,10 +6,12 @@ A fragment is u32 crc32(type, data), u16 length, u8 type (full 1, first 2, middl
 
 from __future__ import annotations
 
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -55,11 +57,19 @@ class Report:
         return sum(n for n, _ in self.dropped)
 
 
-def _fragments(data: bytes, report: Report) -> Iterator[tuple[int, bytes]]:
+def _blocks(stream: BinaryIO) -> Iterator[tuple[bytes, bool]]:
+    """The blocks of a log, and whether each is the last."""
+    block = stream.read(BLOCK)
+    while block:
+        after = stream.read(BLOCK) if len(block) == BLOCK else b""
+        yield block, not after
+        block = after
+
+
+def _fragments(stream: BinaryIO, report: Report) -> Iterator[tuple[int, bytes]]:
     """Checked fragments; 0 marks a place where something was dropped."""
-    for start in range(0, len(data), BLOCK):
-        block, at = data[start : start + BLOCK], 0
-        last = start + BLOCK >= len(data)
+    for block, last in _blocks(stream):
+        at = 0
         while len(block) - at >= HEADER:
             crc, n, kind = int.from_bytes(block[at : at + 4], "little"), int.from_bytes(block[at + 4 : at + 6], "little"), block[at + 6]
             if at + HEADER + n > len(block):
@@ -79,11 +89,15 @@ def _fragments(data: bytes, report: Report) -> Iterator[tuple[int, bytes]]:
 
 
 def read_records(data: bytes, report: Report | None = None) -> Iterator[bytes]:
-    """Whole records.  Corruption is reported and skipped; a log cut short ends
+    return read_stream(io.BytesIO(data), report)
+
+
+def read_stream(stream: BinaryIO, report: Report | None = None) -> Iterator[bytes]:
+    """Whole records, a block of the log at a time.  Corruption is reported and skipped; a log cut short ends
     quietly, as its writer may have died."""
     report = report or Report()
     held: bytearray | None = None
-    for kind, body in _fragments(data, report):
+    for kind, body in _fragments(stream, report):
         if kind in (FULL, FIRST):
             if held is not None:
                 report(len(held), "partial record without end")

@@ -61,14 +61,16 @@ HEADER, ENTRY, TOTALS = struct.Struct("<6sB"), struct.Struct("<BIII"), struct.St
 END_CHUNK, DOCUMENTS, IDS, PRIOR = 0, 1, 2, 3
 BLOCK = 8192
 #: Most blocks coded in step; numpy's cost for a call is shared by so many ids.
-LANES = 1536
+LANES = 1152
 #: Ids of a section, but for the last of a file, which has from half to one and a
 #: half of it (or all of a small file).
-SECTION = 1024 * BLOCK
+SECTION = 768 * BLOCK
 #: Bytes of text for which a file of its own is worth while.
 FILE_BYTES = 64 << 20
 #: Numbers of ids, powers of two, after which a block's own frequencies are counted anew.
-UPDATES = (128, 512, 1024, 2048, 4096)
+UPDATES = (128, 512, 2048)
+#: Steps for which a batch looks its ids up at a time.
+STEPS = 512
 #: Distinct ids of a section; its frequencies add up to 2**PRIOR_BITS, each at least 1.
 PRIOR_BITS = 16
 DISTINCT = 1 << PRIOR_BITS
@@ -380,27 +382,29 @@ def encode_blocks(ids: np.ndarray, prior: Prior, block: int = BLOCK) -> list[tup
         every, row_of = np.arange(len(some)), np.array([0, 0, 0, len(some)])
         mark, t = None, 0
         for until in [*(u for u in UPDATES if u < longest), longest]:
-            part = np.ascontiguousarray(columns[:, t:until].T)
             bits = np.array([0, 0, max(1, t).bit_length() - 1, PRIOR_BITS], np.uint64)
-            # Start and size less 1 of every id under both frequencies.
-            packed = np.zeros((len(part), 2, len(some)), np.uint32)
-            packed[:, 1] = prior.packed[part]
-            own, scale = np.zeros(part.shape, np.uint16), np.float32(1 / max(1, t))
-            if t:
-                start, size = _History(columns[:, :t]).find(columns[:, t:until], len(prior.size))
-                packed[:, 0] = (start.T.astype(np.uint32) << np.uint32(16)) + size.T - np.uint32(1)
-                own[:] = size.T
-            for places, row, sizes in zip(part, packed.reshape(len(part), -1), own):
-                if t == last:
-                    mark = writer.mark()
-                column = places.astype(np.int64)
-                models.look()
-                kind = models.cheapest(column, sizes * scale, prior.share.take(column))
-                then = row.take(row_of.take(kind) + every).astype(np.uint64)
-                then *= kind >= _TWO
-                writer.put(*models.share(kind), then, bits.take(kind))
-                models.learn(column, kind)
-                t += 1
+            history, scale = _History(columns[:, :t]) if t else None, np.float32(1 / max(1, t))
+            for begin in range(t, until, STEPS):
+                part = np.ascontiguousarray(columns[:, begin : min(begin + STEPS, until)].T)
+                # Start and size less 1 of every id under both frequencies.
+                packed = np.zeros((len(part), 2, len(some)), np.uint32)
+                packed[:, 1] = prior.packed[part]
+                own = np.zeros(part.shape, np.uint16)
+                if history:
+                    start, size = history.find(columns[:, begin : begin + len(part)], len(prior.size))
+                    packed[:, 0] = (start.T.astype(np.uint32) << np.uint32(16)) + size.T - np.uint32(1)
+                    own[:] = size.T
+                for places, row, sizes in zip(part, packed.reshape(len(part), -1), own):
+                    if t == last:
+                        mark = writer.mark()
+                    column = places.astype(np.int64)
+                    models.look()
+                    kind = models.cheapest(column, sizes * scale, prior.share.take(column))
+                    then = row.take(row_of.take(kind) + every).astype(np.uint64)
+                    then *= kind >= _TWO
+                    writer.put(*models.share(kind), then, bits.take(kind))
+                    models.learn(column, kind)
+                    t += 1
         for b, payload in zip(some, writer.payloads(mark)):
             out.append((len(b), zlib.crc32(b.astype("<u4").tobytes()), payload))
     return out

@@ -36,8 +36,8 @@ from tidemark.llm.pretokens import piece_starts
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Distinct pieces remembered by a worker before it starts anew.
 REMEMBERED = 1_000_000
-#: Pieces that a worker may remember between tasks (some 60 MB at most).
-KEPT = 800_000
+#: Pieces that a worker may remember between tasks (some 15 MB at most).
+KEPT = 200_000
 #: Slots, a power of two, for pieces met lately.
 NEAR = 1 << 16
 #: Bytes of text encoded at a time.
@@ -62,8 +62,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class HashTable:
-    """uint64 keys (0 is no key) to int32 values, by open addressing; at most a
-    third of the slots are taken, and the table grows with its content."""
+    """uint64 keys (0 is no key) to int32 values, by open addressing; at most half of
+    the slots are taken, and the table grows with its content."""
 
     def __init__(self, room: int = 0, none: int = -1) -> None:
         self.none, self.used = np.int32(none), 0
@@ -81,10 +81,10 @@ class HashTable:
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Distinct new keys."""
-        if 3 * (self.used + len(keys)) > self.mask:
+        if 2 * (self.used + len(keys)) > self.mask:
             held = self.keys != 0
             old_keys, old_values = self.keys[held], self.values[held]
-            self._resize(2 * (self.used + len(keys)))
+            self._resize(self.used + len(keys))
             self.used = 0
             self.put(old_keys, old_values)
         self.used += len(keys)

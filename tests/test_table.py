@@ -38,6 +38,23 @@ def test_reads_follow_the_model(spark, ops):
     assert [r.user_key for r in reads.seek(reads.snapshot_read(log), "k10x").collect()] == [next(k for k in keys if k >= "k10x")]
 
 
+@pytest.mark.parametrize("split", [1, 7, 1 << 16])
+def test_versions_of_a_hot_key_are_split(spark, ops, split, monkeypatch):
+    monkeypatch.setattr(reads, "SPLIT", split)
+    hot = ops + [("hot", i + 300, int(i % 5 > 0), f"h{i}") for i in range(150)]
+    log = spark.createDataFrame(hot, LOG)
+    probes = [(k, s) for k in ("hot", "k03", "nobody") for s in (0, 1, 57, 200, 301, 333, 9000)]
+    got = {(r.user_key, r.probe_seq): (r.seq, r.value) for r in reads.as_of_get(log, spark.createDataFrame(probes, "user_key string, probe_seq long")).collect()}
+    expected = {}
+    for key, at in probes:
+        seen = max(((s, v, x) for k, s, v, x in hot if k == key and s <= at), default=None)
+        if seen and seen[1]:
+            expected[key, at] = (seen[0], seen[2])
+    assert got == expected
+    ranks = {(r.user_key, r.seq): r.version for r in reads.internal_scan(log).collect()}
+    assert ranks == {(k, s): sum(k == a and t >= s for a, t, _, _ in hot) for k, s, _, _ in hot}
+
+
 def test_compaction_keeps_retained_snapshots(spark, ops):
     log = spark.createDataFrame(ops, LOG)
     kept = reads.compact(log, [50, 120, 200])

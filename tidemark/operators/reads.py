@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.runtime import keep, spare_name
 
 
+#: Sequences of one key that are handled together where versions are put in order.
+SPLIT = 1 << 16
+
+
 def newest(log: DataFrame, snapshot: int | None = None, *, keys: list[str] | None = None) -> DataFrame:
     """The newest version of each key as of ``snapshot``, tombstones included.
 
@@ -38,16 +42,30 @@ def multi_get(log: DataFrame, keys: DataFrame, snapshot: int | None = None) -> D
     return snapshot_read(log.join(keys, "user_key", "left_semi"), snapshot)
 
 
+def _split(seq: Column | str) -> Column:
+    """Versions of one key are handled by runs of SPLIT sequences, so that a key with
+    a large share of all versions is many groups and not one."""
+    return F.floor(F.col(seq) / SPLIT) if isinstance(seq, str) else F.floor(seq / SPLIT)
+
+
 def as_of_get(log: DataFrame, probes: DataFrame) -> DataFrame:
     """For each (user_key, probe_seq) the version visible then, if any.
 
-    Probes and versions are put in one order per key and the newest version so far
-    is carried to each probe, so versions are not multiplied by probes."""
-    marks = log.select("user_key", "seq", F.lit(0).alias("turn"), F.struct("vtype", "value", "seq").alias("v"))
-    asked = probes.select("user_key", F.col("probe_seq").alias("seq"), F.lit(1).alias("turn"), F.lit(None).cast(marks.schema["v"].dataType).alias("v"))
-    so_far = Window.partitionBy("user_key").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = marks.unionByName(asked).withColumn("v", F.last("v", ignorenulls=True).over(so_far)).where("turn = 1 and v.vtype = 1")
-    return seen.select("user_key", F.col("seq").alias("probe_seq"), F.col("v.seq").alias("seq"), F.col("v.value").alias("value"))
+    Probes and versions are put in one order per key and run of sequences, and the
+    newest version so far is carried to each probe, so versions are not multiplied
+    by probes.  A probe before its run's first version gets the last version of the
+    runs before: one row for each key and run."""
+    version = F.struct("vtype", "value", "seq")
+    marks = log.select("user_key", _split("seq").alias("run"), "seq", F.lit(0).alias("turn"), version.alias("v"))
+    asked = probes.select("user_key", _split("probe_seq").alias("run"), F.col("probe_seq").alias("seq"), F.lit(1).alias("turn"), F.lit(None).cast(marks.schema["v"].dataType).alias("v"))
+    so_far = Window.partitionBy("user_key", "run").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = marks.unionByName(asked).withColumn("v", F.last("v", ignorenulls=True).over(so_far)).where("turn = 1")
+    lasts = log.groupBy("user_key", _split("seq").alias("run")).agg(F.max_by(version, F.struct("seq", "vtype")).alias("last"))
+    runs = lasts.unionByName(asked.select("user_key", "run").distinct(), allowMissingColumns=True).groupBy("user_key", "run").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("user_key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select("user_key", "run", F.last("last", ignorenulls=True).over(before).alias("earlier"))
+    found = seen.join(carried, ["user_key", "run"]).withColumn("v", F.coalesce("v", "earlier")).where("v.vtype = 1")
+    return found.select("user_key", F.col("seq").alias("probe_seq"), F.col("v.seq").alias("seq"), F.col("v.value").alias("value"))
 
 
 def existing(keys: DataFrame, visible: DataFrame) -> DataFrame:
@@ -126,9 +144,16 @@ def merge_runs(*runs: DataFrame) -> DataFrame:
 
 
 def internal_scan(log: DataFrame) -> DataFrame:
-    """Every version with its rank among its key's versions, newest first."""
-    order = Window.partitionBy("user_key").orderBy(F.desc("seq"), F.desc("vtype"))
-    return log.withColumn("version", F.row_number().over(order).cast("long"))
+    """Every version with its rank among its key's versions, newest first: its rank
+    within its run of sequences, and the versions of the runs after."""
+    run, above = spare_name(log, "_run"), spare_name(log, "_above")
+    placed = log.withColumn(run, _split("seq"))
+    after = Window.partitionBy("user_key").orderBy(F.desc(run)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("user_key", run).agg(F.count("*").alias(above))
+    counts = counts.select("user_key", run, F.coalesce(F.sum(above).over(after), F.lit(0)).alias(above))
+    order = Window.partitionBy("user_key", run).orderBy(F.desc("seq"), F.desc("vtype"))
+    ranked = placed.withColumn("version", F.row_number().over(order).cast("long")).join(counts, ["user_key", run])
+    return ranked.select(*log.columns, (F.col("version") + F.col(above)).alias("version"))
 
 
 def get_with_level(log: DataFrame, snapshot: int | None = None) -> DataFrame:

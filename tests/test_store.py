@@ -325,6 +325,24 @@ def test_one_writer_at_a_time(spark, tmp_path):
     assert len(one.trim()) == 3 and {r.user_key: r.value for r in KVTable(spark, path).read().collect()} == before == {"a": "1", "b": "2", "c": "x"}
 
 
+def test_compaction_by_level(spark, tmp_path):
+    t = KVTable(spark, f"file://{tmp_path}/t")
+    for key, value in (("a", "1"), ("b", "2")):
+        t.put(key, value)
+    t.compact(level=0)
+    t.delete("a")
+    t.put("c", "3")
+    t.compact([2], level=0)
+    assert sorted((r.level, r.n_rows) for r in t.live().collect()) == [(1, 2), (1, 2)]  # the tombstone stays
+    expected = {"b": "2", "c": "3"}
+    assert {r.user_key: r.value for r in t.read().collect()} == expected
+    t.trim()
+    t.compact([2], level=1)
+    again = KVTable(spark, t.path)
+    assert {r.user_key: r.value for r in again.read().collect()} == expected and {r.user_key for r in again.read(2).collect()} == {"a", "b"}
+    assert [r.level for r in again.live().collect()] == [2]
+
+
 def test_file_name_columns(spark):
     names = ["100.log", "000007.ldb", "0.sst", "MANIFEST-000012", "18446744073709551615.log", "18446744073709551616.log", "184467440737095516150.log", "CURRENT", "LOG.old", "x.log", "-1.log", ""]
     rows = spark.createDataFrame([(n,) for n in names], "name string").withColumn("f", codec.file_name_columns(F.col("name"))).collect()

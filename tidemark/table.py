@@ -188,22 +188,27 @@ class KVTable:
         order = F.col("user_key").desc() if backward else F.col("user_key").asc()
         return reads.range_scan(self.log(), low, high, snapshot).orderBy(order)
 
-    def compact(self, snapshots: list[int] | None = None) -> None:
-        """Merge all folders into one run at the bottom; reads as of the present and
-        of the given snapshots stay as they are."""
-        before = [r.folder for r in self.live().collect()]
-        if not before:
+    def compact(self, snapshots: list[int] | None = None, *, level: int | None = None) -> None:
+        """Merge all folders into one run at level 1, or those of one ``level`` into
+        the next; reads as of the present and of the given snapshots stay as they
+        are.  Tombstones go only where no older run is left that they could hide."""
+        every = [r for r in self.live().collect()]
+        merged = [r for r in every if level is None or r.level == level]
+        rest = [r for r in every if r not in merged]
+        if not merged:
             return
         edit = self._claim()
         try:
             last = self.last_sequence()
-            kept = reads.compact(self.log(), [*(snapshots or []), last])
+            log = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{r.folder}" for r in merged))
+            kept = reads.compact(log, [*(snapshots or []), last], bottom=not rest)
             folder = self._write(kept.select("user_key", "seq", "vtype", "value"))
             n = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}").count()
             # The fold of all edits as one: batches seen stay known.
             seen = self._open().where("source is not null").groupBy("source").agg(F.collect_set("batch").alias("batches")).collect()
             tokens = [("none", 0, "", last, 0, r.source, b) for r in seen for b in r.batches]
-            self._publish([("add", 1, folder, last, n), *(("delete", 0, f, last, 0) for f in before), *tokens], edit)
+            whole = [("fold", 0, "", last, 0), *(("add", r.level, r.folder, last, r.n_rows) for r in rest)]
+            self._publish([*whole, ("add", 1 if level is None else level + 1, folder, last, n), *(("delete", 0, r.folder, last, 0) for r in merged), *tokens], edit)
         except Exception:
             self.release()
             raise
@@ -214,7 +219,7 @@ class KVTable:
         they are done."""
         live = {r.folder for r in self.live().collect()}
         edits = self._open()
-        last = edits.where("level = 1 and action = 'add'").agg(F.max("edit_id")).first()[0]
+        last = edits.where("action = 'fold'").agg(F.max("edit_id")).first()[0]
         for kind, gone in (("manifest", last), ("claims", self._next_edit())):
             where, store = self._file(kind)
             if gone is not None and store.exists(where):

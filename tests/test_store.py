@@ -12,8 +12,9 @@ from tidemark.functions.filters import BloomPolicy, FilterBlock, FilterBlockBuil
 from tidemark.operators import batches, files, reads
 from tidemark.operators.reads import Cursor
 from tidemark.sources import datasource, logfile, tablefile
+from tidemark.sources.cache import LRUCache, ShardedCache
 from tidemark.sources.editfile import FileNumbers, Version, VersionEdit
-from tidemark.sources.store import Store, StoreOptions
+from tidemark.sources.store import MemoryFolder, Store, StoreOptions
 from tidemark.table import KVTable
 
 LOG = "user_key string, seq long, vtype long, value string"
@@ -386,3 +387,66 @@ def test_data_sources(spark, tmp_path):
     list(reader.pushFilters([datasource.EqualTo(("user_key",), b"k10")]))
     assert {r["user_key"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()} <= {b"k10"}
     assert [(bytes(r.user_key), r.seq) for r in spark.read.format("tidemark_log").load(path).collect()] == [(b"logged", 201)]
+
+
+def test_cache_hits_misses_and_erasure():
+    gone, cache = [], LRUCache(1000)
+    for key, value in ((100, 101), (200, 201), (100, 102)):
+        cache.release(cache.insert(key, value, 1, lambda k, v: gone.append((k, v))))
+    assert gone == [(100, 101)] and cache.lookup(300) is None
+    held = cache.lookup(100)
+    assert held.value == 102
+    cache.erase(100)
+    assert cache.lookup(100) is None and gone == [(100, 101)]  # held, so still there
+    cache.release(held)
+    assert gone[-1] == (100, 102)
+    cache.erase(7)
+    cache.prune()
+    assert gone[-1] == (200, 201) and cache.total_charge == 0
+
+
+def test_cache_evicts_what_was_used_least_recently():
+    cache = LRUCache(100)
+    for key in ("often", "once", "held"):
+        held = cache.insert(key, key)
+        if key != "held":
+            cache.release(held)
+    for i in range(300):
+        cache.release(cache.insert(i, i))
+        cache.release(cache.lookup("often"))
+    assert cache.lookup("once") is None and cache.lookup("held").value == "held" and cache.total_charge == 100
+    none = LRUCache(0)
+    entry = none.insert(1, 1, 1, lambda k, v: None)
+    assert none.lookup(1) is None and entry.value == 1
+
+
+def test_sharded_cache_stays_near_its_capacity():
+    cache, light, heavy = ShardedCache(1000), 1, 10
+    for i in range(2000):
+        cache.release(cache.insert(i, 1000 + i, light if i & 1 else heavy))
+    kept = [i for i in range(2000) if (e := cache.lookup(i)) and (cache.release(e) or e.value == 1000 + i)]
+    weight = sum(light if i & 1 else heavy for i in kept)
+    assert 0 < weight == cache.total_charge <= 1100
+    assert cache.new_id() != cache.new_id()
+
+
+def test_blocks_are_read_once():
+    data = tablefile.write_table(iter(entries(300)), 200)
+    blocks = ShardedCache(1 << 20)
+    table = tablefile.open_table(data, blocks=blocks)
+    assert list(table.scan()) == entries(300)
+    table.stream = None  # nothing is read again
+    assert list(table.scan()) == entries(300) and blocks.total_charge > 0
+
+
+def test_store_in_memory(spark):
+    folder = MemoryFolder()
+    store = Store(spark, "memory", StoreOptions(create_if_missing=True), folder)
+    folder.write("x", b"1")
+    folder.rename("x", "y")
+    assert folder.read("y") == b"1" and not folder.exists("x")
+    for wrong in (lambda: folder.read("x"), lambda: folder.delete("x")):
+        with pytest.raises(NotFound):
+            wrong()
+    folder.delete("y")
+    assert Store(spark, "memory", folder=folder).version == store.version and folder.names() == ["CURRENT", "MANIFEST-000001"]

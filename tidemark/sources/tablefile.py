@@ -10,6 +10,7 @@ block, if there is one.  The footer is two block handles padded to 40 bytes and
 from __future__ import annotations
 
 import bisect
+import functools
 import io
 import uuid
 import zlib
@@ -28,6 +29,7 @@ from tidemark.functions.codec import VALUE, Corruption, get_varint, internal_sep
 from tidemark.functions.filters import FilterBlock, FilterBlockBuilder, FilterPolicy
 from tidemark.operators import files
 from tidemark.runtime import fresh_path, keep, map_arrow, ship
+from tidemark.sources.cache import ShardedCache, TableCache
 
 #: Fixed value of the format.
 MAGIC = 0xDB4775248B80FB57
@@ -211,8 +213,9 @@ class Table:
     """Random access to a table over a stream that can seek: the footer, index and
     filters are read when it is opened, data blocks as they are asked for."""
 
-    def __init__(self, stream: BinaryIO, size: int, *, policy: FilterPolicy | None = None, internal_keys: bool = False, verify: bool = True) -> None:
-        self.stream, self.verify = stream, verify
+    def __init__(self, stream: BinaryIO, size: int, *, policy: FilterPolicy | None = None, internal_keys: bool = False, verify: bool = True, blocks: ShardedCache | None = None) -> None:
+        self.stream, self.verify, self.cached = stream, verify, blocks
+        self.cache_id = blocks.new_id() if blocks else 0
         self.order = by_internal_key if internal_keys else by_bytes
         self.filtered = user_part if internal_keys else by_bytes
         if size < FOOTER:
@@ -258,7 +261,16 @@ class Table:
         return [(k, v) for _, k, v in self.index.entries()]
 
     def block(self, handle: bytes) -> Block:
-        return Block(self._block(handle), self.order)
+        if self.cached is None:
+            return Block(self._block(handle), self.order)
+        key = (self.cache_id, get_varint(handle, 0)[0])
+        entry = self.cached.lookup(key)
+        if entry is None:
+            block = Block(self._block(handle), self.order)
+            entry = self.cached.insert(key, block, len(block.data))
+        # Python keeps a block for as long as somebody reads it.
+        self.cached.release(entry)
+        return entry.value
 
     def scan(self, start: bytes | None = None) -> Iterator[tuple[bytes, bytes]]:
         """Entries in order, from the first key not below ``start``."""
@@ -400,26 +412,21 @@ def get_keys(manifest: DataFrame, keys: DataFrame, snapshot: int, *, policy: Fil
     placed = files.find_file(ends, keys.distinct()).where("number is not null").join(F.broadcast(ends.select("number", "path", "file_size")), "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, table, stream = None, None, None
+        cache = TableCache(functools.partial(Table, policy=policy, internal_keys=True))
         for batch in batches:
             rows = []
             for path, size, key in zip(*(c.to_pylist() for c in batch.columns)):
-                if path != opened:
-                    if stream:
-                        stream.close()
-                    store, at = fs.FileSystem.from_uri(path)
-                    stream = store.open_input_file(at)
-                    opened, table = path, Table(stream, size, policy=policy, internal_keys=True)
+                held = cache.use(path, size)
                 # Sequences go down within a key: the first entry from here on is the newest seen.
-                found = table.get(pack_internal_key(key, snapshot, VALUE))
+                found = held.value.get(pack_internal_key(key, snapshot, VALUE))
+                cache.release(held)
                 if found:
                     user, seq, kind = parse_internal_key(found[0])
                     if user == key and kind == VALUE:
                         rows.append((key, seq, found[1]))
             columns = zip(*rows) if rows else ([], [], [])
             yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()))], names=["user_key", "seq", "value"])
-        if stream:
-            stream.close()
+        cache.close()
 
     spread = placed.select("path", "file_size", "user_key").repartition("path").sortWithinPartitions("path", "user_key")
     return map_arrow(spread, run, "user_key binary, seq long, value binary")

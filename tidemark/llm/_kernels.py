@@ -77,9 +77,11 @@ class _Powers:
 #: Bytes hashed over one table of powers.
 SPAN = 1 << 17
 _POWERS = _Powers()
-#: A 64-bit number for every byte, and the same with A-Z as a-z.
+#: A 64-bit number for every byte.
 _BYTES = mix((np.arange(256, dtype=U64) + U64(1)) * _GOLD)
-_LOWERED = _BYTES[LOWER]
+#: Masks of a number's first 0 to 8 bytes, and odd factors of the two numbers.
+_UPTO = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_FIRST, _SECOND = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,41 +129,63 @@ def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word: a polynomial in its bytes, then finalised.
+    """64-bit hash of each word.
 
-    Running sums over the text give every word's polynomial as a difference, brought
-    down by the power of the word's own start.
+    Up to 16 bytes are read as two numbers, multiplied and added; longer words hash
+    by a polynomial in their bytes.  A word's hash hangs on its bytes alone.
     """
+    if not len(starts):
+        return np.empty(0, U64)
+    lengths = ends - starts
+    padded = np.zeros(len(raw) + 16, np.uint8)
+    padded[: len(raw)] = LOWER[raw] if lower else raw
+    # The eight bytes from every place on, as one number.
+    eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = (eight[starts] & _UPTO.take(np.minimum(lengths, 8))) * _FIRST
+        second = np.flatnonzero(lengths > 8)
+        out[second] += (eight[starts[second] + 8] & _UPTO.take(np.minimum(lengths[second] - 8, 8))) * _SECOND
+        long = np.flatnonzero(lengths > 16)
+        if len(long):
+            out[long] = _polynomials(padded, starts[long], ends[long])
+        return mix(out + lengths.astype(U64) * _GOLD)
+
+
+def _polynomials(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial in each word's bytes: running sums over the words laid end to end
+    give every word's as a difference, brought down by the power of its own start."""
+    lengths = ends - starts
+    ends = np.cumsum(lengths)
+    raw = raw[np.arange(int(ends[-1])) + np.repeat(starts - (ends - lengths), lengths)]
+    starts = ends - lengths
     out = np.empty(len(starts), U64)
-    table = _LOWERED if lower else _BYTES
     up, down = _POWERS.get()
-    lengths = (ends - starts).astype(U64)
     a = 0
     with np.errstate(over="ignore"):
         while a < len(starts):
             begin = int(starts[a])
             b = int(np.searchsorted(ends, begin + SPAN, side="right"))
             if b <= a:  # a word longer than the table, in parts
-                out[a] = _long_hash(raw[begin : int(ends[a])], table)
+                out[a] = _long_hash(raw[begin : int(ends[a])])
                 a += 1
                 continue
             sums = np.zeros(int(ends[b - 1]) - begin + 1, U64)
-            values = table[raw[begin : int(ends[b - 1])]]
+            values = _BYTES[raw[begin : int(ends[b - 1])]]
             values *= up[: len(values)]
             np.cumsum(values, out=sums[1:])
             first = starts[a:b] - begin
             out[a:b] = (sums[ends[a:b] - begin] - sums[first]) * down[first]
             a = b
-        return mix(out + lengths * _GOLD)
+    return out
 
 
-def _long_hash(word: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _long_hash(word: np.ndarray) -> np.ndarray:
     """The polynomial of a word longer than the table of powers."""
     up, _ = _POWERS.get()
     total, scale = U64(0), 1
     step = pow(_Powers.BASE, SPAN, 1 << 64)
     for at in range(0, len(word), SPAN):
-        values = table[word[at : at + SPAN]]
+        values = _BYTES[word[at : at + SPAN]]
         total += (values * up[: len(values)]).sum(dtype=U64) * U64(scale)
         scale = scale * step % (1 << 64)
     return total

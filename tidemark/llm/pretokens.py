@@ -46,18 +46,37 @@ def _classes() -> np.ndarray:
     return _CLASSES
 
 
-def _contractions(codes: np.ndarray, kinds: np.ndarray, heads: np.ndarray, starts: np.ndarray) -> None:
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """Class of every byte: that of its character."""
+    classes = _classes()
+    kinds = classes[:256][raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        first = raw[lead]
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first.astype(np.int32) & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+        for i in (1, 2, 3):
+            more = np.flatnonzero(size > i)
+            code[more] = code[more] << 6 | raw[lead[more] + i] & 0x3F
+        found = classes[code]
+        kinds[lead] = found
+        for i in (1, 2, 3):
+            more = size > i
+            kinds[lead[more] + i] = found[more]
+    return kinds
+
+
+def _contractions(raw: np.ndarray, kinds: np.ndarray, heads: np.ndarray, starts: np.ndarray) -> None:
     """Move piece starts where an apostrophe takes the letters after it."""
-    n = len(codes)
-    at = np.flatnonzero(codes == 39)
+    n = len(raw)
+    at = np.flatnonzero(raw == 39)
     at = at[at + 1 < n]
     at = at[starts[at] & (kinds[at + 1] == _LETTER) & ~heads[at + 1]]
     if not len(at):
         return
-    one = codes[at + 1]
-    two_in = at + 2 < n
+    one = raw[at + 1]
     where = np.minimum(at + 2, n - 1)
-    two = np.where(two_in & ~heads[where], codes[where], 0)
+    two = np.where((at + 2 < n) & ~heads[where], raw[where], 0)
     single = np.isin(one, [ord(c) for c in "stmd"])
     double = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
     taken = np.where(single, 1, np.where(double, 2, 0))
@@ -72,32 +91,29 @@ def _contractions(codes: np.ndarray, kinds: np.ndarray, heads: np.ndarray, start
 def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte positions at which pieces start, over texts laid end to end.
 
-    ``raw`` is UTF-8; ``offsets`` are the texts' bounds (one more than texts).
+    ``raw`` is UTF-8; ``offsets`` are the texts' bounds (one more than texts).  All is
+    done on bytes: those of one character have its class, so no class changes within.
     """
-    if not len(raw):
+    n = len(raw)
+    if not n:
         return np.empty(0, np.int64)
-    plain = not (raw & 0x80).any()
-    if plain:
-        codes, text_starts = raw, offsets[:-1]
-    else:
-        codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        lead = np.flatnonzero((raw & 0xC0) != 0x80)
-        text_starts = np.searchsorted(lead, offsets[:-1])
-    kinds = _classes()[codes]
-    n = len(codes)
+    kinds = _kinds(raw)
     heads = np.zeros(n, bool)
-    heads[text_starts[text_starts < n]] = True
-    changed = np.empty(n, bool)
-    changed[0] = True
-    np.not_equal(kinds[1:], kinds[:-1], out=changed[1:])
-    changed |= heads
-    starts = changed.copy()
+    heads[offsets[:-1][offsets[:-1] < n]] = True
+    starts = np.empty(n, bool)
+    starts[0] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+    starts |= heads
     # A run after white space: the last white-space character starts a piece,
     # and the run itself does too unless that character is a plain space.
-    after = np.flatnonzero(changed & (kinds != _SPACE) & ~heads)
+    after = np.flatnonzero(starts)
+    after = after[(kinds[after] != _SPACE) & ~heads[after]]
     after = after[kinds[after - 1] == _SPACE]
-    starts[after - 1] = True
-    starts[after[codes[after - 1] == 32]] = False
-    _contractions(codes, kinds, heads, starts)
-    found = np.flatnonzero(starts)
-    return found if plain else lead[found]
+    space = after - 1
+    for _ in range(3):  # back to the first byte of that character
+        inside = (raw[space] & 0xC0) == 0x80
+        space = space - inside
+    starts[space] = True
+    starts[after[raw[space] == 32]] = False
+    _contractions(raw, kinds, heads, starts)
+    return np.flatnonzero(starts)

@@ -57,10 +57,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+#: Writer options for tables whose rows hold large binary values: small row groups
+#: (a writer and a reader hold one each) and no dictionary of values that never repeat.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"}
+
+
+def keep(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, with writer options, and read it back."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out

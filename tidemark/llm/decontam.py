@@ -1,8 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is a table of blocks in the shared folder.  A block holds the postings
-(term, positions) of all words of a run of training documents - about ``K.PIECE``
-bytes, or one longer document - so it is built without a shuffle, serves any test
+(term, positions) of all words of a run of training documents - about
+``BLOCK_BYTES``, or one longer document - so it is built without a shuffle, serves any test
 set, and is also the unit of search: nothing about a hot word is ever gathered in
 one place.  Terms are 64-bit word hashes, and equal hashes are taken as equal words.
 
@@ -30,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _kernels as K
-from tidemark.runtime import keep, map_arrow, spare_name
+from tidemark.runtime import LARGE_ROWS, keep, map_arrow, spare_name
 
 WINDOW = 8
 SLICE_WORDS = 500_000
+#: Bytes of text of one block: its lists stay below half a megabyte, which a JVM
+#: need not keep apart from its small objects.
+BLOCK_BYTES = 1 << 19
 #: Hashes of texts to drop are broadcast up to this many (8 bytes each).
 BROADCAST_KEYS = 1_000_000
 
@@ -109,7 +112,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         block = TaskContext.get().partitionId() << 33
         for batch in batches:
             raw, offsets = K.string_buffers(batch.column(1))
-            for a, b in K.pieces(offsets):
+            for a, b in K.pieces(offsets, BLOCK_BYTES):
                 part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, first = K.words(part, at, K.ALNUM)
                 hashes = K.word_hashes(part, starts, ends)
@@ -324,7 +327,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
     rows that repeat are reported each; a very long text is a block of its own;
     other columns are ignored; empty tables give no rows, or rows without hits.
     """
-    index = keep(build_index(docs, id_col=id_col, text_col=text_col), "postings")
+    index = keep(build_index(docs, id_col=id_col, text_col=text_col), "postings", **LARGE_ROWS)
     passes: list[DataFrame] = []
     held: TestSlice | None = None
     for tests in test_slices(benchmark, width=width, id_col=item_col, text_col=item_text_col):
@@ -389,7 +392,7 @@ def proximity_matches(docs: DataFrame, phrases: list[str], width: int, *, id_col
     hashes = [text_words(p) for p in phrases]
     vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
     asked = [np.searchsorted(vocabulary, h) for h in hashes]
-    index = keep(build_index(docs, id_col=id_col, text_col=text_col), "postings")
+    index = keep(build_index(docs, id_col=id_col, text_col=text_col), "postings", **LARGE_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

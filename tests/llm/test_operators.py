@@ -181,6 +181,29 @@ def test_id_blocks():
                 id_files.decode_blocks([(n, crc, payload[:at] + bytes([payload[at] ^ 1]) + payload[at + 1 :])], prior)
 
 
+def test_id_predictions_ahead_are_those_step_by_step():
+    r = np.random.default_rng(3)
+    lanes, n = id_files.GROUP + 3, 700
+    columns = np.where(r.random((lanes, n)) < 0.8, r.integers(0, 4, (lanes, n)) + r.integers(0, 2, (lanes, n)) * 2048, r.integers(0, 2**16, (lanes, n))).astype(np.uint16)
+    columns[0], columns[1] = 7, np.arange(n) % 3
+    met = id_files._predictions(columns)
+    tables, guess = id_files._Tables(lanes), np.empty((2, lanes), np.int32)
+    for t, ids in enumerate(np.ascontiguousarray(columns.T).astype(np.int32)):
+        sure = tables.look(guess).copy()
+        assert np.array_equal(met[:, t], sure | (guess == ids) << 4)
+        tables.learn(ids, guess)
+    assert met.max() == 31
+
+
+def test_id_blocks_keep_their_bytes():
+    """Payloads as version 3 has had them from the first."""
+    r = np.random.default_rng(2)
+    ids = np.minimum(r.zipf(1.3, 50_000), 100_000)
+    ids[10_000:30_000] = np.tile(ids[:100], 200)
+    payloads = b"".join(p for _, _, p in id_files.encode_blocks(ids, id_files.Prior.of(ids)))
+    assert (len(payloads), zlib.crc32(payloads)) == (28_992, 3_047_297_770)
+
+
 def test_id_blocks_are_below_order_0_and_zlib():
     r = np.random.default_rng(5)
     # Documents of 300 words, each in one of four languages of 500 words, as in prose.

@@ -69,8 +69,10 @@ SECTION = 768 * BLOCK
 FILE_BYTES = 64 << 20
 #: Numbers of ids, powers of two, after which a block's own frequencies are counted anew.
 UPDATES = (128, 512, 2048)
-#: Steps for which a batch looks its ids up at a time.
-STEPS = 512
+#: Steps for which a batch looks its ids up at a time, and those it codes at a time.
+STEPS, RUN = 512, 32
+#: Lanes whose predictions are found at a time.
+GROUP = 8
 #: Distinct ids of a section; its frequencies add up to 2**PRIOR_BITS, each at least 1.
 PRIOR_BITS = 16
 DISTINCT = 1 << PRIOR_BITS
@@ -86,9 +88,9 @@ _TARGET = np.array([123 | 124 << 16 | 125 << 32, 1 | 124 << 16 | 125 << 32, 1 |
 _CUMULATIVE, _WHOLE = np.uint64(0x0FFF0FFF0FFF), np.uint64(4096 << 48)
 _FIELD, _FOUR, _SIXTEEN, _MOVED = (np.uint64(x) for x in (0xFFFF, 4, 16, 32))
 _LEAST = np.uint64(1 << 32)
-_ONES, _HIGH, _TOP_BIT, _TWO, _THREE = (np.uint64(x) for x in (0x000100010001, 0x800080008000, 15, 2, 3))
 #: Numbers of the tables' own width: a step of confidence, the most, and a shift.
 _SURER, _MOST, _FOUR_DOWN = np.int32(1), np.int32(15), np.int32(4)
+_BYTE_ONE, _FIVE = np.uint8(1), np.uint64(5)
 #: Steps between changes of the weights, which add up to 16, and how the past fades.
 _WEIGH, _FADE = 8, np.float32(0.875)
 #: An entry of a frequency table: symbol, start and size in one number.
@@ -201,89 +203,162 @@ class _History:
 
 
 class _Models:
-    """The state of all lanes: predictions (order 2, order 1) with their confidence in
-    the low four bits, the probabilities under three contexts, and their weights."""
+    """The probabilities of kinds under three contexts, for all lanes, and their weights."""
 
     def __init__(self, lanes: int) -> None:
-        each = np.arange(lanes)
-        self.table_rows = (np.arange(2) * lanes)[:, None] + each << _TABLE
-        self.tables = np.full(2 * lanes << _TABLE, -16, np.int32)
-        self.rows = (np.arange(3) * lanes)[:, None] + each << 4
+        self.rows = (np.arange(3) * lanes)[:, None] + np.arange(lanes) << 4
         self.shares = np.full(3 * lanes << 4, _EVEN, np.uint64)
-        self.slot = np.zeros((2, lanes), np.int64)
-        self.context = np.zeros((3, lanes), np.int64)
         self.credit = np.full((3, lanes), 1, np.float32)
         self.weights = np.repeat(np.array([[6], [5], [5]], np.uint64), lanes, axis=1)
-        self.before = np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.int64)
         self.steps = 0
-
-    def look(self) -> None:
-        """Predictions and mixed probabilities for the next id of every lane."""
-        self.at = self.table_rows + self.slot
-        entry = self.tables.take(self.at)
-        self.guess = entry >> _FOUR_DOWN
-        self.sure = entry & _MOST
-        self.context[:2] = self.sure
-        self.places = self.rows + self.context
-        self.held = self.shares.take(self.places)
-        self.mixed = np.add.reduce(self.held * self.weights) >> _FOUR & _CUMULATIVE
-        self.start = self.mixed << _SIXTEEN
-        self.size = (self.mixed | _WHOLE) - self.start
-
-    def share(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each lane's kind (unsigned), of 2**12."""
-        self.shift = kind << _FOUR
-        return self.start >> self.shift & _FIELD, self.size >> self.shift & _FIELD
-
-    def cheapest(self, ids: np.ndarray, own: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        """The kind of each lane's id that takes the fewest bits, where the block's
-        frequencies and the prior give the id those shares."""
-        fields = self.size.view(np.uint16).reshape(-1, 4)
-        hit = self.hit = self.guess == ids
-        by_own, by_prior = fields[:, 2] * own, fields[:, 3] * prior
-        best = np.maximum(by_own, by_prior)
-        first, second = fields[:, 1] * hit[1], fields[:, 0] * hit[0]
-        kind = (by_prior > by_own) + _TWO
-        kind[first > best] = 1
-        kind[second > np.maximum(best, first)] = 0
-        return kind
-
-    def kind_at(self, value: np.ndarray) -> np.ndarray:
-        """The kind whose share holds a value below 2**12: how many fields it reaches,
-        all three compared in one subtraction."""
-        reached = (value * _ONES | _HIGH) - self.mixed & _HIGH
-        return (reached >> _TOP_BIT) * _ONES >> _MOVED & _THREE
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        """Take in the ids of all lanes and their kinds (0 order 2, 1 order 1, 2 the
-        block's frequencies, 3 the prior)."""
-        held = self.held
+        self.held, self.part = np.empty((2, 3, lanes), np.uint64)
+        self.target = np.empty(lanes, np.uint64)
+
+    def mix(self, places: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Start and size of each kind (a field of 16 bits) for the next id of every lane,
+        where ``places`` has those of the first two contexts."""
+        np.add(self.rows[2], self.last, out=places[2])
+        self.shares.take(places, out=self.held, mode="clip")
+        part = np.multiply(self.held, self.weights, out=self.part)
+        np.add(part[0], part[1], out=start)
+        start += part[2]
+        start >>= _FOUR
+        start &= _CUMULATIVE
+        np.bitwise_or(start, _WHOLE, out=size)
+        start <<= _SIXTEEN
+        size -= start
+
+    def learn(self, places: np.ndarray, kind: np.ndarray) -> None:
+        """Take in the kinds of all lanes' ids (0 order 2, 1 order 1, 2 the block's
+        frequencies, 3 the prior)."""
+        held, part = self.held, self.part
         if self.steps % _WEIGH == 0:
-            given = ((held | _WHOLE) - (held << _SIXTEEN)) >> self.shift & _FIELD
-            self.credit = self.credit * _FADE + given.astype(np.float32) / np.float32(4096)
-            cubes = self.credit * self.credit * self.credit
-            parts = (cubes * (np.float32(16) / np.add.reduce(cubes))).astype(np.uint64)
-            parts[0] = np.uint64(16) - parts[1] - parts[2]
-            self.weights = parts
+            self.weigh(kind)
         self.steps += 1
-        kind = kind.astype(np.int64)
-        self.shares[self.places] = held - (held >> _RATE & _DECAY) + _TARGET.take(kind)
-        entry = np.minimum(self.sure + _SURER, _MOST)
-        entry *= self.hit
-        entry |= ids.astype(np.int32) << _FOUR_DOWN
-        self.tables[self.at] = entry
-        last = self.context[2]
+        np.right_shift(held, _RATE, out=part)
+        part &= _DECAY
+        held -= part
+        held += _TARGET.take(kind, out=self.target, mode="clip")
+        self.shares[places] = held
+        last = self.last
         last <<= 2
         last |= kind
         last &= 15
-        mixed, plain = self.slot
-        np.multiply(self.before, 1009, out=mixed)
-        mixed += ids
-        mixed &= (1 << _TABLE) - 1
-        np.bitwise_and(ids, (1 << _TABLE) - 1, out=plain)
+
+    def weigh(self, kind: np.ndarray) -> None:
+        """Weigh the contexts by how probable they held the kinds."""
+        given = ((self.held | _WHOLE) - (self.held << _SIXTEEN)) >> (kind.astype(np.uint64) << _FOUR) & _FIELD
+        self.credit = self.credit * _FADE + given.astype(np.float32) / np.float32(4096)
+        cubes = self.credit * self.credit * self.credit
+        parts = (cubes * (np.float32(16) / np.add.reduce(cubes))).astype(np.uint64)
+        parts[0] = np.uint64(16) - parts[1] - parts[2]
+        self.weights = parts
+
+
+class _Tables:
+    """Predictions of all lanes (order 2, order 1) with their confidence in the low four
+    bits, as a decoder needs them: it has an id only after its step."""
+
+    def __init__(self, lanes: int) -> None:
+        self.rows = (np.arange(2) * lanes)[:, None] + np.arange(lanes) << _TABLE
+        self.tables = np.full(2 * lanes << _TABLE, -16, np.int32)
+        self.slot, self.before = np.zeros((2, lanes), np.int32), np.zeros(lanes, np.int32)
+        self.at = np.empty((2, lanes), np.int64)
+        self.entry, self.sure, self.part = np.empty((3, 2, lanes), np.int32)
+        self.hit = np.empty((2, lanes), bool)
+
+    def look(self, guess: np.ndarray) -> np.ndarray:
+        """Predictions for the next id of every lane, and their confidence."""
+        np.add(self.rows, self.slot, out=self.at)
+        self.tables.take(self.at, out=self.entry, mode="clip")
+        np.right_shift(self.entry, _FOUR_DOWN, out=guess)
+        return np.bitwise_and(self.entry, _MOST, out=self.sure)
+
+    def learn(self, ids: np.ndarray, guess: np.ndarray) -> None:
+        entry, slot = self.sure, self.slot
+        np.equal(guess, ids, out=self.hit)
+        entry += _SURER
+        np.minimum(entry, _MOST, out=entry)
+        entry *= self.hit
+        entry |= ids << _FOUR_DOWN
+        self.tables[self.at] = entry
+        np.multiply(self.before, np.int32(1009), out=slot[0])
+        slot[0] += ids
+        slot[1] = ids
+        slot &= np.int32((1 << _TABLE) - 1)
         self.before = ids
 
 
+def _predictions(columns: np.ndarray) -> np.ndarray:
+    """What both tables hold before every id: (order, step, lane) confidence, and 16 where
+    the id predicted is the id.
+
+    An encoder knows all ids, so nothing is looked up step by step: a stable sort by slot
+    lays what a slot predicts next to what came, and confidence is a run of hits.
+    """
+    lanes, n = columns.shape
+    out = np.empty((2, n, lanes), np.uint8)
+    for a in range(0, lanes, GROUP):
+        part = columns[a : a + GROUP]
+        slots = np.zeros((2, *part.shape), np.uint16)
+        slots[:, :, 1:] = part[:, :-1]
+        slots[0, :, 2:] += part[:, :-2] * np.uint16(1009)
+        slots &= np.uint16((1 << _TABLE) - 1)
+        order = np.argsort(slots, axis=2, kind="stable").reshape(-1, n)
+        order += (np.arange(len(order)) * n)[:, None]
+        order = order.ravel()
+        slot, ids = slots.ravel().take(order), np.concatenate((part, part)).ravel().take(order)
+        again = np.zeros(len(order), bool)
+        np.equal(slot[1:], slot[:-1], out=again[1:])
+        again[::n] = False
+        hit = again.copy()
+        hit[1:] &= ids[1:] == ids[:-1]
+        at = np.arange(len(order), dtype=np.int32)
+        run = at - np.maximum.accumulate(at * ~hit)
+        found = hit.astype(np.uint8) << 4
+        found[1:] |= np.minimum(run[:-1], 15).astype(np.uint8) * again[1:]
+        met = np.empty(len(order), np.uint8)
+        met[order] = found
+        out[:, :, a : a + GROUP] = met.reshape(slots.shape).transpose(0, 2, 1)
+    return out
+
+
+def _choose(models: _Models, met: np.ndarray, own: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, start, size) for each step and lane: the kind of the id that takes the
+    fewest bits, where the block's frequencies and the prior give the id the shares
+    ``own`` and ``prior``, and the share of 2**12 which that kind has."""
+    steps, lanes = own.shape
+    places = np.empty((steps, 3, lanes), np.int64)
+    np.add((met & 15).transpose(1, 0, 2), models.rows[:2], out=places[:, :2])
+    chances = np.empty((steps, 4, lanes), np.float32)
+    chances[:, :2] = (met >> 4).transpose(1, 0, 2)
+    chances[:, 2], chances[:, 3] = own, prior
+    kinds, (starts, sizes) = np.empty((steps, lanes), np.int64), np.empty((2, steps, lanes), np.uint64)
+    fields = sizes.view(np.uint16).reshape(steps, lanes, 4).transpose(0, 2, 1)
+    worth, best = np.empty((4, lanes), np.float32), np.empty(lanes, np.float32)
+    # True is 1, so a kind comes from sums and products of comparisons.
+    more, number = np.empty(lanes, bool), np.empty(lanes, np.uint8)
+    one = more.view(np.uint8)
+    second, first, by_own, by_prior = worth
+    for place, chance, kind, start, size, field in zip(places, chances, kinds, starts, sizes, fields):
+        models.mix(place, start, size)
+        np.multiply(field, chance, out=worth)
+        np.greater(by_prior, by_own, out=more)
+        np.add(one, _BYTE_ONE, out=number)
+        np.maximum(by_own, by_prior, out=best)
+        np.less_equal(first, best, out=more)
+        number *= one
+        number += _BYTE_ONE
+        np.maximum(best, first, out=best)
+        np.less_equal(second, best, out=more)
+        number *= one
+        kind[:] = number
+        models.learn(place, kind)
+    shift = kinds.astype(np.uint64) << _FOUR
+    return kinds, starts >> shift & _FIELD, sizes >> shift & _FIELD
+
+
 class _Writer:
     """Range coders of all lanes.  A width is 2**32 or more before each id, enough for
     its kind (12 bits) and what follows (16)."""
@@ -296,25 +371,37 @@ class _Writer:
         self.carried: list[tuple[int, np.ndarray]] = []
 
     def put(self, start: np.ndarray, size: np.ndarray, then: np.ndarray, then_bits: np.ndarray) -> None:
-        """A share of 2**12 and then one of 2**then_bits for every lane: ``then`` is
-        the start and the size less 1 of the latter."""
-        unit = self.width >> _KIND_BITS
-        low = self.low + start * unit
-        unit *= size
-        unit >>= then_bits
-        low += (then >> _SIXTEEN) * unit
-        unit *= (then & _FIELD) + np.uint64(1)
-        over = (low < self.low).nonzero()[0]
-        if len(over):  # past 64 bits: one more for the word moved last
-            self.carried.append((self.steps, over))
-        self.low, self.width = low, unit
-        small = (unit < _LEAST).nonzero()[0]
-        part = low.take(small)
-        self.lanes.append(small.astype(np.uint16))
-        self.words.append((part >> _MOVED).astype(np.uint32))
-        low[small] = part << _MOVED
-        unit[small] = unit.take(small) << _MOVED
-        self.steps += 1
+        """For every step and lane a share of 2**12 and then one of 2**then_bits: ``then``
+        is the start and the size less 1 of the latter."""
+        steps, lanes = start.shape
+        then_start, then_size = then >> _SIXTEEN, (then & _FIELD) + np.uint64(1)
+        over, small = np.empty(start.shape, bool), np.empty(start.shape, bool)
+        words = np.empty(start.shape, np.uint64)
+        low, width, part = self.low, self.width, np.empty(lanes, np.uint64)
+        for a, n, then_a, then_n, bits, carry, moves, word in zip(start, size, then_start, then_size, then_bits, over, small, words):
+            width >>= _KIND_BITS
+            np.multiply(a, width, out=part)
+            width *= n
+            width >>= bits
+            then_a *= width
+            part += then_a
+            width *= then_n
+            low += part
+            np.less(low, part, out=carry)  # past 64 bits: one more for the word moved last
+            np.less(width, _LEAST, out=moves)
+            np.right_shift(low, _MOVED, out=word)
+            np.copyto(part, moves)
+            part <<= _FIVE
+            low <<= part
+            width <<= part
+        for step in np.flatnonzero(over.any(axis=1)).tolist():
+            self.carried.append((self.steps + step, over[step].nonzero()[0]))
+        who, what = small.nonzero()[1].astype(np.uint16), words[small].astype(np.uint32)
+        ends = np.cumsum(np.count_nonzero(small, axis=1)).tolist()
+        for i, j in zip([0, *ends], ends):
+            self.lanes.append(who[i:j])
+            self.words.append(what[i:j])
+        self.steps += steps
 
     def mark(self) -> tuple[int, int]:
         """Where the last lane stands: the steps made, and its low."""
@@ -336,9 +423,9 @@ class _Writer:
             carried = [(t, x if t < steps else x[x != last]) for t, x in carried]
         if carried:
             # The word before a carry: the last of its lane that an earlier step moved.
-            step = np.repeat(np.arange(len(self.lanes)), [len(x) for x in self.lanes])
-            keys = lanes[order].astype(np.int64) << 32 | step[order]
-            at = np.searchsorted(keys, np.concatenate([x.astype(np.int64) << 32 | t for t, x in carried])) - 1
+            moved = np.cumsum([0, *map(len, self.lanes)]).tolist()
+            keys = order + np.repeat(np.arange(n) << 32, np.diff(ends, prepend=0))
+            at = np.searchsorted(keys, np.concatenate([(x << 32) + moved[t] for t, x in carried])) - 1
             np.add.at(words, at, 1)
             while len(over := np.flatnonzero(words >> 32)):
                 words[over] &= 0xFFFFFFFF
@@ -360,11 +447,14 @@ class _Reader:
         self.width = np.full(len(payloads), 2**64 - 1, np.uint64)
 
     def settle(self) -> None:
-        small = (self.width < _LEAST).nonzero()[0]
-        at = self.at.take(small)
-        self.width[small] = self.width.take(small) << _MOVED
-        self.ahead[small] = self.ahead.take(small) << _MOVED | self.data.take(at, mode="clip")
-        self.at[small] = at + 1
+        small = (self.width < _LEAST).astype(np.uint64)
+        shift = small << _FIVE
+        self.width <<= shift
+        self.ahead <<= shift
+        words = self.data.take(self.at, mode="clip")
+        words *= small
+        self.ahead |= words
+        self.at += small.view(np.int64)
 
 
 def encode_blocks(ids: np.ndarray, prior: Prior, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
@@ -379,32 +469,26 @@ def encode_blocks(ids: np.ndarray, prior: Prior, block: int = BLOCK) -> list[tup
         for lane, b in zip(columns, some):
             lane[: len(b)] = prior.places(b)
         models, writer = _Models(len(some)), _Writer(len(some))
-        every, row_of = np.arange(len(some)), np.array([0, 0, 0, len(some)])
+        met = _predictions(columns)
         mark, t = None, 0
         for until in [*(u for u in UPDATES if u < longest), longest]:
             bits = np.array([0, 0, max(1, t).bit_length() - 1, PRIOR_BITS], np.uint64)
             history, scale = _History(columns[:, :t]) if t else None, np.float32(1 / max(1, t))
             for begin in range(t, until, STEPS):
-                part = np.ascontiguousarray(columns[:, begin : min(begin + STEPS, until)].T)
-                # Start and size less 1 of every id under both frequencies.
-                packed = np.zeros((len(part), 2, len(some)), np.uint32)
-                packed[:, 1] = prior.packed[part]
-                own = np.zeros(part.shape, np.uint16)
-                if history:
-                    start, size = history.find(columns[:, begin : begin + len(part)], len(prior.size))
-                    packed[:, 0] = (start.T.astype(np.uint32) << np.uint32(16)) + size.T - np.uint32(1)
-                    own[:] = size.T
-                for places, row, sizes in zip(part, packed.reshape(len(part), -1), own):
+                ahead = columns[:, begin : min(begin + STEPS, until)]
+                part = np.ascontiguousarray(ahead.T)
+                start, size = (x.T for x in history.find(ahead, len(prior.size))) if history else np.zeros((2, *part.shape), np.uint16)
+                # A run ends where the last block does.
+                cuts = sorted({*range(0, len(part), RUN), len(part), min(max(last - begin, 0), len(part))})
+                for a, b in zip(cuts, cuts[1:]):
                     if t == last:
                         mark = writer.mark()
-                    column = places.astype(np.int64)
-                    models.look()
-                    kind = models.cheapest(column, sizes * scale, prior.share.take(column))
-                    then = row.take(row_of.take(kind) + every).astype(np.uint64)
-                    then *= kind >= _TWO
-                    writer.put(*models.share(kind), then, bits.take(kind))
-                    models.learn(column, kind)
-                    t += 1
+                    kind, *share = _choose(models, met[:, t : t + b - a], size[a:b] * scale, prior.share.take(part[a:b]))
+                    # Start and size less 1 of every id under its frequencies.
+                    own = (start[a:b].astype(np.uint32) << np.uint32(16)) + size[a:b] - np.uint32(1)
+                    then = np.where(kind == 3, prior.packed.take(part[a:b]), own * (kind == 2)).astype(np.uint64)
+                    writer.put(*share, then, bits.take(kind))
+                    t += b - a
         for b, payload in zip(some, writer.payloads(mark)):
             out.append((len(b), zlib.crc32(b.astype("<u4").tobytes()), payload))
     return out
@@ -418,39 +502,55 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]], prior: Prior) -> np.ndar
     names = prior.ids if len(prior.ids) else np.zeros(1, np.int64)
     for i in range(0, len(blocks), LANES):
         some = blocks[i : i + LANES]
-        models, reader = _Models(len(some)), _Reader([p for _, _, p in some])
+        lanes = len(some)
+        models, tables, reader = _Models(lanes), _Tables(lanes), _Reader([p for _, _, p in some])
         longest = max(n for n, _, _ in some)
-        columns = np.zeros((longest, len(some)), np.uint16)
-        every, t = np.arange(len(some)), 0
+        columns = np.zeros((longest, lanes), np.uint16)
+        every, t = np.arange(lanes), 0
+        fourth, places = 4 * every, np.empty((3, lanes), np.int64)
+        # Start and size of each kind: a field each; a kind's number is how many starts after the first it reaches.
+        start, size, part = np.empty((3, lanes), np.uint64)
+        starts, sizes = start.view(np.uint16), size.view(np.uint16)
+        fields = starts.reshape(lanes, 4).T[1:]
+        bounds, reached = np.empty((3, lanes), np.uint64), np.empty((3, lanes), bool)
+        by_first, by_second, by_third = reached.view(np.uint8)
+        # The id by each kind.
+        choice = np.empty((4, lanes), np.int32)
+        guess = choice[:2]
         for until in [*(u for u in UPDATES if u < longest), longest]:
             # One table: the prior's slots, then those of every lane's history.
             entries = np.concatenate((slots, _History(columns[:t].T).entries())) if t else slots
             bits = np.array([0, 0, max(1, t).bit_length() - 1, PRIOR_BITS], np.uint64)
             most = (np.uint64(1) << bits) - np.uint64(1)
-            base = np.zeros((4, len(some)), np.int64)
+            base = np.zeros((4, lanes), np.int64)
             base[2], base[3] = len(slots) + every * t if t else 0, 1
             for t in range(t, until):
-                models.look()
-                unit = reader.width >> _KIND_BITS
-                kind = models.kind_at(reader.ahead // unit)
-                start, size = models.share(kind)
-                ahead = reader.ahead - start * unit
-                unit *= size
-                which = kind.astype(np.int64)
-                unit >>= bits.take(which)
-                value = np.minimum(ahead // unit, most.take(which)).astype(np.int64)
-                value += base.take(which * len(some) + every)
+                np.add(models.rows[:2], tables.look(guess), out=places[:2])
+                models.mix(places, start, size)
+                ahead, unit = reader.ahead, reader.width
+                unit >>= _KIND_BITS
+                np.less_equal(np.multiply(fields, unit, out=bounds), ahead, out=reached)
+                kind = (by_first + by_second + by_third).astype(np.int64)
+                field, which = kind + fourth, kind * lanes
+                which += every
+                ahead -= np.multiply(starts.take(field), unit, out=part)
+                unit *= sizes.take(field)
+                unit >>= bits[kind]
+                value = np.minimum(np.floor_divide(ahead, unit, out=part), most[kind], out=part).view(np.int64)
+                value += base.take(which)
                 entry = entries.take(value)
-                ahead -= (entry >> _PART & _MASK) * unit
-                unit *= entry & _MASK
-                reader.ahead, reader.width = ahead, unit
+                np.right_shift(entry, _PART, out=part)
+                part &= _MASK
+                part *= unit
+                ahead -= part
+                unit *= np.bitwise_and(entry, _MASK, out=part)
                 reader.settle()
-                found = (entry >> _SYMBOL).astype(np.int64)
-                np.copyto(found, models.guess[1], where=which == 1)
-                np.copyto(found, models.guess[0], where=which == 0)
+                entry >>= _SYMBOL
+                choice[2:] = entry
+                found = choice.take(which)
                 columns[t] = found
-                models.hit = models.guess == found
-                models.learn(found, kind)
+                models.learn(places, kind)
+                tables.learn(found, guess)
             t = until
         for j, ((n, crc, _), lane) in enumerate(zip(some, np.ascontiguousarray(columns.T))):
             got = names[np.minimum(lane[:n], len(names) - 1)].astype("<u4")

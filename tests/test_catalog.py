@@ -49,6 +49,25 @@ def test_varint_len_past_five_bytes(spark, tmp_path):
     assert got == {k: len(codec.put_varint(k * k * 7919)) for k in keys} and max(got.values()) == 9
 
 
+def _bytes_of(x):
+    return max(1, -(-x.bit_length() // 7)) if x > 0 else 1
+
+
+def test_varint_widths_past_63_bits(spark, tmp_path):
+    """At 1 GB keys pass 2**21, and 2**21 shifted by 42 bits is 2**63."""
+    keys = [0, 1, (1 << 21) - 1, 1 << 21, (1 << 21) + 1, 1 << 22, 8_999_999, 53_999_999, 1 << 28, (1 << 28) + 1, (1 << 63) - 1]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.o_orderkey, r.step): r.n for r in catalog.QUERIES["varint_widths"](spark, str(tmp_path)).collect()}
+    assert got == {(k, s): _bytes_of((k << s) - 1) for k in keys for s in range(0, 43, 7)}
+
+
+def test_varint_len_past_63_bits(spark, tmp_path):
+    keys = [0, 34_127_908, 34_128_000, 53_999_999, 4_000_000_000, 100_000_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.n for r in catalog.QUERIES["varint_len"](spark, str(tmp_path)).collect()}
+    assert got == {k: _bytes_of(k * k * 7919) for k in keys}
+
+
 def test_checksum_verify_reports_payloads_altered_in_the_store(spark, monkeypatch):
     """Every seventh value is altered after its checksum was taken."""
     value = F.when(F.col("seq") % 7 == 0, F.lit("altered")).otherwise(F.col("value"))

@@ -269,6 +269,18 @@ def test_cursor(spark):
     assert c.last() and c.key == keys[-1] and c.value == model(rows, 300)[keys[-1]] and not c.next() and c.status is None
 
 
+def test_find_file_reads_each_row_once(spark):
+    """No frame that looks ahead (each of its rows folds all that follow) and no copies of the files."""
+    ends = list(range(10, 3000, 7))
+    table = spark.createDataFrame([(i, f"{x:06d}") for i, x in enumerate(ends)], "number long, largest string")
+    keys = [f"{i:06d}" for i in range(0, 3005)]
+    found = files.find_file(table, spark.createDataFrame([(k,) for k in keys], "user_key string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "generate" not in plan and "unboundedpreceding" in plan
+    got = {r.user_key: r.number for r in found.collect()}
+    assert got == {k: next((i for i, x in enumerate(ends) if f"{x:06d}" >= k), None) for k in keys}
+
+
 def test_file_operators_against_loops(spark):
     r = random.Random(4)
     rows = []

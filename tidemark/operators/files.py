@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.runtime import partitions
+from tidemark.runtime import keep
 
 LEVELS, L0_TRIGGER, SLOW_AT, STOP_AT = 7, 4, 8, 12
 FIRST_LIMIT, GROWTH = 10 * (1 << 20), 10
@@ -59,24 +59,29 @@ def _sweep(marks: DataFrame, asked: DataFrame, carry: dict[str, Callable[[Column
     on) add up to: a merged order of both, not a range join.
 
     Both have ``at``, and ``turn`` for the order of equals.  ``carry`` names columns
-    of ``marks`` and how a window folds them.  Asked rows are dealt to lanes by a
-    hash, and the marks, which are metadata of files, stand in every lane.
+    of ``marks`` and how a window folds them: a max, min or sum.  The order is one
+    range sort (equals are cut by a hash), and each of its partitions begins with the
+    fold of those before it, so a mark stands once and all frames run forward: frames
+    that look ahead are folded anew for each row.
     """
-    lanes = partitions(asked.sparkSession)
-    spread = asked.withColumn("lane", F.pmod(F.xxhash64(*asked.columns), F.lit(lanes)).cast("int")).withColumn("asked", F.lit(True))
-    every = marks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    order = Window.partitionBy("lane").orderBy("at", "turn")
-    frame = order.rowsBetween(Window.currentRow, Window.unboundedFollowing) if following else order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = spread.unionByName(every, allowMissingColumns=True)
-    return both.select(*asked.columns, "asked", *(fold(F.col(c)).over(frame).alias(c) for c, fold in carry.items())).where("asked").drop("asked")
+    way = F.desc if following else F.asc
+    both = asked.withColumn("asked", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    placed = keep(both.orderBy(way("at"), way("turn"), F.xxhash64(*asked.columns)).withColumn("part", F.spark_partition_id()), "swept")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as partitions.
+    folded = placed.groupBy("part").agg(*(fold(F.col(c)).alias(c) for c, fold in carry.items()))
+    heads = folded.select("part", F.lit(0).alias("body"), *(fold(F.col(c)).over(earlier).alias(c) for c, fold in carry.items()))
+    order = Window.partitionBy("part").orderBy("body", way("at"), way("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = placed.withColumn("body", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    return rows.select(*asked.columns, "asked", *(fold(F.col(c)).over(order).alias(c) for c, fold in carry.items())).where("asked").drop("asked")
 
 
 def find_file(files: DataFrame, keys: DataFrame) -> DataFrame:
     """For each key the first file of a sorted disjoint level whose largest >= key
     (null beyond the last)."""
-    ends = files.select(F.col("largest").alias("at"), F.lit(1).alias("turn"), "number")
+    ends = files.select(F.col("largest").alias("at"), F.lit(1).alias("turn"), F.struct("largest", "number").alias("nearest"))
     asked = keys.select(F.col("user_key").alias("at"), F.lit(0).alias("turn"), "user_key")
-    return _sweep(ends, asked, {"number": lambda n: F.first(n, ignorenulls=True)}, following=True).select("user_key", "number")
+    return _sweep(ends, asked, {"nearest": F.min}, following=True).select("user_key", F.col("nearest.number").alias("number"))
 
 
 def overlap_exists(files: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.functions import codec, snappy
 from tidemark.functions.filters import BloomPolicy, FilterBlock, FilterBlockBuilder
 from tidemark.operators import batches, files, reads
 from tidemark.operators.reads import Cursor
-from tidemark.sources import datasource, logfile, tablefile
+from tidemark.sources import datasource, logfile, store, tablefile
 from tidemark.sources.cache import LRUCache, ShardedCache
 from tidemark.sources.editfile import FileNumbers, Version, VersionEdit
 from tidemark.sources.store import MemoryFolder, Store, StoreOptions
@@ -222,6 +222,28 @@ def test_store(spark, tmp_path):
         Store(spark, path)
 
 
+def test_logs_and_tables_are_read_piece_by_piece(spark, tmp_path, monkeypatch):
+    """A log of more rows than a batch, and tables: no file is one value of a row, except where only Spark can open it."""
+    path = f"file://{tmp_path}/s"
+    log = spark.range(1, 25_001).select(F.format_string("k%05d", F.col("id") % 997).alias("user_key"), F.col("id").alias("seq"), (F.col("id") % 5 != 0).cast("long").alias("vtype"), F.col("id").cast("string").alias("value"))
+    made = Store(spark, path, StoreOptions(create_if_missing=True))
+    made.add(log.where("seq <= 1000"))
+    tail = batches.as_batches(log.where("seq > 1000"), 100).withColumn("log", F.lit(made.numbers.new()).cast("long"))
+    for row in logfile.write_log_files(tail).collect():
+        made.folder.move_in(row.path, codec.file_name("log", row.log))
+
+    def read():
+        found = Store(spark, path).log()
+        return "content:binary" in found._jdf.queryExecution().executedPlan().toString(), sorted((r.seq, bytes(r.user_key), r.vtype, r.file.endswith(".log"), bytes(r.value or b"")) for r in found.collect())
+
+    whole, rows = read()
+    assert not whole and [r[0] for r in rows] == list(range(1, 25_001))
+    assert rows == [(i, b"k%05d" % (i % 997), int(i % 5 != 0), i > 1000, (b"%d" % i) if i % 5 or i <= 1000 else b"") for i in range(1, 25_001)]
+    for module in (store, logfile):
+        monkeypatch.setattr(module, "opens", lambda *_: False)
+    assert read() == (True, rows)
+
+
 def test_store_with_damaged_logs(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     store = Store(spark, path, StoreOptions(create_if_missing=True))

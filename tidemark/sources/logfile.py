@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.codec import Corruption
 from tidemark.operators import batches
-from tidemark.runtime import fresh_path, keep, map_arrow, ship
+from tidemark.runtime import fresh_path, keep, map_arrow, opens
 
 BLOCK, HEADER = 32768, 7
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
+#: Rows and bytes of one batch that a reader yields; batches that a writer unpacks at once.
+ROWS, ROWS_BYTES, UNPACKED = 10_000, 8 << 20, 64
 
 
 def frame(records: list[bytes], at: int = 0) -> bytes:
@@ -48,13 +50,11 @@ class Report:
     """Bytes dropped, with reasons, while a log was read."""
 
     dropped: list[tuple[int, str]] = field(default_factory=list)
+    total: int = 0
 
     def __call__(self, n: int, why: str) -> None:
         self.dropped.append((n, why))
-
-    @property
-    def total(self) -> int:
-        return sum(n for n, _ in self.dropped)
+        self.total += n
 
 
 def _blocks(stream: BinaryIO) -> Iterator[tuple[bytes, bool]]:
@@ -121,53 +121,76 @@ def read_stream(stream: BinaryIO, report: Report | None = None) -> Iterator[byte
             held = None
 
 
+def _open_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Path and content of each log; the content is null where tasks can open the file
+    and read it as a stream, and a log is one value only where Spark alone reads."""
+    raw = spark.read.format("binaryFile").load(path)
+    content = F.lit(None).cast("binary") if opens(spark, path) else F.col("content")
+    return raw.select("path", content.alias("content"))
+
+
+def _streams(batches_: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, BinaryIO]]:
+    """Name and stream of each log."""
+    for batch in batches_:
+        for path, content in zip(*batch.columns):
+            file = path.as_py()
+            if content.is_valid:
+                yield file.rsplit("/", 1)[-1], pa.BufferReader(content.as_buffer())
+            else:
+                store, at = fs.FileSystem.from_uri(file)
+                with io.BufferedReader(store.open_input_stream(at), 1 << 20) as stream:
+                    yield file.rsplit("/", 1)[-1], stream
+
+
 def lost_bytes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, dropped and reason: what of each log could not be read; a log without a
     good record is reported like any other."""
-    ship(spark)
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def run(frames):
-        import pandas as pd
+    def run(logs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, stream in _streams(logs):
+            report = Report()
+            for record in read_stream(stream, report):
+                try:
+                    for _ in batches.decode(record):
+                        pass
+                except Corruption as e:
+                    report(len(record), str(e))
+            sizes, reasons = zip(*report.dropped) if report.dropped else ((), ())
+            yield pa.record_batch([pa.array([file] * len(sizes), pa.string()), pa.array(sizes, pa.int64()), pa.array(reasons, pa.string())], names=["file", "dropped", "reason"])
 
-        for frame_ in frames:
-            rows = []
-            for file, content in zip(frame_["path"], frame_["content"]):
-                report = Report()
-                for record in read_records(content, report):
-                    try:
-                        for _ in batches.decode(record):
-                            pass
-                    except Corruption as e:
-                        report(len(record), str(e))
-                rows.extend((file, n, why) for n, why in report.dropped)
-            yield pd.DataFrame(rows, columns=["file", "dropped", "reason"])
-
-    return raw.mapInPandas(run, "file string, dropped long, reason string").withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return map_arrow(_open_logs(spark, path), run, "file string, dropped long, reason string")
 
 
 def read_log_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Change log (user_key, seq, vtype, value as binary; file; dropped bytes) of
     binary logs whose records are write batches.  Batches under 12 bytes and what
-    follows an error within one are skipped; :func:`lost_bytes` tells of each."""
-    ship(spark)
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames):
-        import pandas as pd
-
-        for frame_ in frames:
-            rows = []
-            for file, content in zip(frame_["path"], frame_["content"]):
-                report = Report()
-                for record in read_records(content, report):
-                    try:
-                        rows.extend((file, key, seq, kind, value, report.total) for seq, kind, key, value in batches.decode(record))
-                    except Corruption as e:
-                        report(len(record), str(e))
-            yield pd.DataFrame(rows, columns=["file", "user_key", "seq", "vtype", "value", "dropped"])
-
-    return raw.mapInPandas(run, "file string, user_key binary, seq long, vtype long, value binary, dropped long").withColumn("file", F.element_at(F.split("file", "/"), -1))
+    follows an error within one are skipped; :func:`lost_bytes` tells of each.  A task
+    holds a block of the log, a record and a batch of rows, however long the log."""
+    kinds = {"file": pa.string(), "user_key": pa.binary(), "seq": pa.int64(), "vtype": pa.int64(), "value": pa.binary(), "dropped": pa.int64()}
+
+    def rows(logs: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for file, stream in _streams(logs):
+            report = Report()
+            for record in read_stream(stream, report):
+                lost = report.total
+                try:
+                    for seq, kind, key, value in batches.decode(record):
+                        yield file, key, seq, kind, value, lost
+                except Corruption as e:
+                    report(len(record), str(e))
+
+    def run(logs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in rows(logs):
+            held.append(row)
+            size += len(row[1]) + len(row[4] or b"")
+            if len(held) >= ROWS or size >= ROWS_BYTES:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], names=list(kinds))
+                held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], names=list(kinds))
+
+    return map_arrow(_open_logs(spark, path), run, "file string, user_key binary, seq long, vtype long, value binary, dropped long")
 
 
 def write_log_files(batches_: DataFrame, folder: str | None = None) -> DataFrame:
@@ -188,7 +211,8 @@ def write_log_files(batches_: DataFrame, folder: str | None = None) -> DataFrame
             out.close()
             return pa.record_batch([pa.array([x], t) for x, t in ((current, pa.int64()), (path, pa.string()), (n, pa.int64()), (size, pa.int64()))], names=["log", "path", "n_records", "n_bytes"])
 
-        for part in parts:
+        # A batch of rows holds many ops, so it is unpacked in slices.
+        for part in (whole.slice(i, UNPACKED) for whole in parts for i in range(0, whole.num_rows, UNPACKED)):
             for log, base_seq, ops in zip(*(c.to_pylist() for c in part.columns)):
                 if log != current:
                     if out is not None:

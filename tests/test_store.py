@@ -222,6 +222,16 @@ def test_store(spark, tmp_path):
         Store(spark, path)
 
 
+def test_get_keys_looks_ahead_for_no_key(spark):
+    """Keys find their table by frames that run forward, so the cost of a lookup does not grow with the keys asked."""
+    log = spark.range(1, 2001).select(F.format_string("k%04d", F.col("id")).alias("user_key"), F.col("id").alias("seq"), F.lit(1).cast("long").alias("vtype"), F.col("id").cast("string").alias("value"))
+    asked = spark.range(0, 2100, 3).select(F.format_string("k%04d", F.col("id")).cast("binary").alias("user_key"))
+    found = tablefile.get_keys(tablefile.write_table_files(log, policy=BloomPolicy()), asked, 1500, policy=BloomPolicy())
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "generate" not in plan
+    assert {bytes(r.user_key): (r.seq, bytes(r.value)) for r in found.collect()} == {b"k%04d" % i: (i, b"%d" % i) for i in range(3, 1501, 3)}
+
+
 def test_logs_and_tables_are_read_piece_by_piece(spark, tmp_path, monkeypatch):
     """A log of more rows than a batch, and tables: no file is one value of a row, except where only Spark can open it."""
     path = f"file://{tmp_path}/s"
